@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from specloom.llm import decontam, linededup
+from specloom.llm import decontam, linededup, minhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op3_decontamination": decontam.query,
     "op4_line_dedup": linededup.query,
+    "op10_minhash": minhash.query,
 }
 
 SQL = {
     "op3_decontamination": decontam.SQL,
     "op4_line_dedup": linededup.SQL,
+    "op10_minhash": minhash.SQL,
 }
