@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, binary_slices, discard, materialize, mix64, shingle_sets, text_bytes
+from specloom.llm.common import arrow_map, binary_slices, discard, materialize, mix64, partitions, shingle_sets, text_bytes
 from specloom.llm.graph import connected_components
 
 WIDTH = 4
@@ -98,6 +98,14 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (lo + hi) / 2
 
 
+def _equal(ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """How many registers of each row of ra equal those of rb; registers come in multiples of 64 or are padded."""
+    bits = np.packbits(ra == rb, axis=1)
+    if bits.shape[1] % 8:
+        bits = np.pad(bits, ((0, 0), (0, 8 - bits.shape[1] % 8)))
+    return np.bitwise_count(bits.view(np.uint64)).sum(1, dtype=np.int64)
+
+
 def _sketches(base: DataFrame, kind: str, width: int, m: int) -> DataFrame:
     """(k, n, d1, d2, regs): id, set size, digest of the set, registers as bytes."""
 
@@ -171,7 +179,8 @@ def _across(mixed: DataFrame, kind: str, least: float) -> DataFrame:
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks.cast("long")).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "c", "n", "regs")
-    groups = dealt.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "c", "n", "regs")).alias("g"))
+    # few bytes, much work: the number of partitions is fixed, so that they aren't merged
+    groups = dealt.repartition(partitions(mixed.sparkSession), "bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "c", "n", "regs")).alias("g"))
 
     def fn(batch: pa.RecordBatch) -> dict:
         left, right = [], []
@@ -180,19 +189,21 @@ def _across(mixed: DataFrame, kind: str, least: float) -> DataFrame:
             r = np.frombuffer(b"".join(x["regs"] for x in g), np.uint16).reshape(len(g), -1)
             own, n = np.array([x["own"] for x in g]), np.array([x["n"] for x in g], float)
             _, c = np.unique([str(x["c"]) for x in g], return_inverse=True)
+            ps, qs = [], []
             for p in range(len(g) - 1):
-                q = np.arange(p + 1, len(g))
-                ok = (c[q] != c[p]) & (np.minimum(n[q], n[p]) >= least * np.maximum(n[q], n[p]))
+                q = np.flatnonzero((c[p + 1 :] != c[p]) & (np.minimum(n[p + 1 :], n[p]) >= least * np.maximum(n[p + 1 :], n[p]))) + p + 1
                 if i != j:
-                    ok &= own[q] != own[p]
-                q = q[ok]
-                if not len(q):
-                    continue
-                q = q[(r[q] == r[p]).mean(1) >= least - 0.2]  # the estimate is below the share of equal registers plus this
+                    q = q[own[q] != own[p]]
                 if len(q):
-                    q = q[estimate(np.broadcast_to(r[p], (len(q), r.shape[1])), r[q], np.full(len(q), n[p]), n[q]) >= least]
-                    left.extend([g[p]["k"]] * len(q))
-                    right.extend(g[x]["k"] for x in q)
+                    # registers are equal a little more often than the sets' similarity: the cheap test comes first
+                    q = q[_equal(r[q], r[p]) >= (least - 0.02) * r.shape[1]]
+                    ps.append(np.full(len(q), p))
+                    qs.append(q)
+            if ps:
+                p, q = np.concatenate(ps), np.concatenate(qs)
+                ok = estimate(r[p], r[q], n[p], n[q]) >= least
+                left.extend(g[x]["k"] for x in p[ok])
+                right.extend(g[x]["k"] for x in q[ok])
         return {"a": left, "b": right}
 
     def typed(batch: pa.RecordBatch) -> dict:
