@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from specloom.llm import decontam, linededup, minhash, toxicity
+from specloom.llm import chat, decontam, linededup, lm, minhash, packing, secrets, tokencount, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_decontamination": decontam.query,
     "op4_line_dedup": linededup.query,
+    "op2_lm_scoring": lm.query,
+    "op5_token_counts": tokencount.query,
+    "op7_secrets": secrets.query,
+    "op9_chat": chat.query,
+    "op8_packing": packing.query,
     "op10_minhash": minhash.query,
 }
 
 SQL = {
     "op3_decontamination": decontam.SQL,
     "op4_line_dedup": linededup.SQL,
+    "op9_chat": chat.SQL,
     "op10_minhash": minhash.SQL,
 }
