@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specloom.llm import chat, decontam, linededup, lm, minhash, packing, secrets, tokencount, toxicity
+from specloom.llm import chat, decontam, embdedup, linededup, lm, minhash, packing, secrets, tokencount, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": linededup.query,
     "op2_lm_scoring": lm.query,
     "op5_token_counts": tokencount.query,
+    "op6_embedding_dedup": embdedup.query,
     "op7_secrets": secrets.query,
     "op9_chat": chat.query,
     "op8_packing": packing.query,
@@ -19,6 +20,7 @@ QUERIES = {
 SQL = {
     "op3_decontamination": decontam.SQL,
     "op4_line_dedup": linededup.SQL,
+    "op6_embedding_dedup": embdedup.SQL,
     "op9_chat": chat.SQL,
     "op10_minhash": minhash.SQL,
 }
