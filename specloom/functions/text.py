@@ -90,6 +90,11 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(F.regexp_like(x, F.lit(r"^\d")), F.lpad(x, 10, "0")).otherwise(F.lower(x))), "")
 
 
+def cells(line: Column) -> Column:
+    """Cells of a laid-out line: what two or more blanks part. Splitting, since a repeated group would recurse over long lines."""
+    return F.filter(F.split(F.trim(line), " {2,}"), lambda x: F.length(x) > 0)
+
+
 def search_text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 

@@ -323,12 +323,12 @@ def canonical_url(spark, d):
 SELECT doc_id, line_no, len(c) AS n_cells, c[1] AS first_cell FROM (SELECT doc_id, line_no, regexp_extract_all(line, '[^ ]+(?: [^ ]+)*') AS c FROM l) WHERE len(c) > 0""")
 def cell_split(spark, d):
     lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    cells = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.regexp_extract_all("line", F.lit("([^ ]+(?: [^ ]+)*)"), F.lit(1)).alias("c"))
+    cells = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), text.cells(F.col("line")).alias("c"))
     return cells.where(F.size("c") > 0).select("doc_id", "line_no", F.size("c").cast("long").alias("n_cells"), F.col("c")[0].alias("first_cell"))
 
 
 @_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
-SELECT doc_id, n AS line_no, lead(line) OVER w AS below, lag(line) OVER w AS above FROM l QUALIFY length(line) < 40 WINDOW w AS (PARTITION BY doc_id ORDER BY n)""")
+SELECT doc_id, n AS line_no, lead(line) OVER w AS below, lag(line) OVER w AS above FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n) QUALIFY length(line) < 40""")
 def label_value(spark, d):
     lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     w = rel.Window.partitionBy("doc_id").orderBy("p")
