@@ -279,8 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return fit_chain([], n.get(1, 0) / max(1, sum(n.values())))
+    # a hash of the id picks nine tenths of the bound; a plain top-k would send as many rows of every partition to one task
     order = F.xxhash64("k")
-    picked = known.where("y = 1").orderBy(order).limit(MAX_TOXIC).unionByName(known.where("y = 0").orderBy(order).limit(MAX_CLEAN))
+    share = lambda y, most: F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 0.9 * most / n[y]) * (1 << 30))
+    picked = known.where((F.col("y") == 1) & share(1, MAX_TOXIC)).limit(MAX_TOXIC).unionByName(known.where((F.col("y") == 0) & share(0, MAX_CLEAN)).limit(MAX_CLEAN))
     rows = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).where(F.length("t").between(1, MAX_TRAIN_BYTES)).join(F.broadcast(picked), "k")  # MAX_TOXIC + MAX_CLEAN rows at most
     sample = sorted(((r.k, r.y, bytes(r.t)) for r in rows.toLocalIterator()), key=lambda x: (hash_order(x[0]), x[2]))
     return fit_chain([(t, y) for _, y, t in sample], n[1] / (n[0] + n[1]))
