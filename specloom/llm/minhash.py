@@ -7,8 +7,10 @@ sets become one class. Bands of registers deal the classes' representatives into
 
 Links: in each bucket everyone is compared with the bucket's smallest id, so a bucket of n ids gives n - 1 pairs.
 Verified links give components. Where a bucket still holds several components, the pairs across them (never
-those within one) are estimated in blocks of bounded size, and the likely ones are verified too. Whatever the
-buckets hold, a pair that shares a band is therefore linked, already connected, or known not to be a link.
+those within one) are estimated in blocks of bounded size. No pair leaves a block: only the members do that have a
+likely partner, each pair in the first band that it shares. Their full sets meet once more in blocks of bounded
+size, which count all intersections exactly and give the links of a spanning forest, at most one less than members.
+Whatever the buckets hold, a pair that shares a band is therefore linked, already connected, or known not to be a link.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ RATE = 20.0
 LIMIT = (1 << 16) - 2
 #: An estimate this far under the threshold rules a pair out: over four standard deviations at 128 registers.
 MARGIN = 0.15
-#: Members of a bucket that meet in one task.
+#: Members of a bucket that meet in one task, and shingles of theirs where full sets meet; bands are numbered by a byte.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
+MAX_BANDS = 256
+#: Shingles that so many members share are counted by a matrix product, others pair by pair.
+DENSE = 16
 
 _MULTIPLIERS = [np.uint64(((0x9E3779B97F4A7C15 * (2 * k + 1)) ^ (0xC2B2AE3D27D4EB4F * (k + 7))) & ((1 << 64) - 1) | 1) for k in range(1024)]
 
@@ -133,7 +139,7 @@ def _bands(reps: DataFrame, kind: str, bands: int, rows: int) -> DataFrame:
             h = np.full(len(r), j + 1, np.uint64)
             for c in range(j * rows, (j + 1) * rows):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + r[:, c])
-            keys[:, j] = h
+            keys[:, j] = (h >> np.uint64(8) << np.uint64(8)) | np.uint64(j)  # the low byte says which band
         return {"bucket": pa.array(keys.ravel().view(np.int64)), "k": batch.column("k").take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))}
 
     return arrow_map(reps, fn, f"bucket long, k {kind}", 4096)
@@ -174,43 +180,141 @@ def _verified(pairs: DataFrame, sets: DataFrame, kind: str, threshold: int) -> D
     return arrow_map(both.select("a", "b", "sa", "sb"), fn, f"a {kind}, b {kind}", 256)
 
 
-def _across(mixed: DataFrame, kind: str, least: float) -> DataFrame:
-    """Likely pairs between the components that a bucket holds; mixed: (bucket, cnt, k, c, n, regs)."""
-    blocks = F.ceil(F.col("cnt") / BLOCK).cast("int")
+def _dealt(rows: DataFrame, blocks, columns: list[str], spark: SparkSession) -> DataFrame:
+    """rows (bucket, k, ...) gathered by pairs of blocks (i <= j) of their bucket, as arrays g of (own: the block, columns)."""
     own = F.pmod(F.xxhash64("k"), blocks.cast("long")).cast("int")
-    dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "c", "n", "regs")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
     # few bytes, much work: the number of partitions is fixed, so that they aren't merged
-    groups = dealt.repartition(partitions(mixed.sparkSession), "bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "c", "n", "regs")).alias("g"))
+    return dealt.repartition(partitions(spark), "bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", *columns)).alias("g"))
+
+
+def _across(mixed: DataFrame, kind: str, least: float, rows: int) -> DataFrame:
+    """(bucket, k): members of a bucket with a likely partner of another component; mixed: (bucket, cnt, k, c, n, regs).
+
+    A pair counts in the first band that it shares, so in one bucket only.
+    """
+    groups = _dealt(mixed, F.ceil(F.col("cnt") / BLOCK).cast("int"), ["k", "c", "n", "regs"], mixed.sparkSession)
 
     def fn(batch: pa.RecordBatch) -> dict:
-        left, right = [], []
-        for i, j, g in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g").to_pylist(), strict=True):
-            g.sort(key=lambda x: x["k"])
-            r = np.frombuffer(b"".join(x["regs"] for x in g), np.uint16).reshape(len(g), -1)
-            own, n = np.array([x["own"] for x in g]), np.array([x["n"] for x in g], float)
-            _, c = np.unique([str(x["c"]) for x in g], return_inverse=True)
-            ps, qs = [], []
-            for p in range(len(g) - 1):
+        buckets, found = [], []
+        ids = batch.schema.field("g").type.value_type.field("k").type
+        for bucket, i, j, g in zip(batch.column("bucket").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g"), strict=True):
+            v = g.values
+            r = np.frombuffer(b"".join(v.field("regs").to_pylist()), np.uint16).reshape(len(v), -1)
+            own, n = v.field("own").to_numpy(), v.field("n").to_numpy().astype(float)
+            c = v.field("c").dictionary_encode().indices.to_numpy()
+            band, bands = bucket & 255, r.shape[1] // rows
+            hit = np.zeros(len(v), bool)
+            ps, qs, held = [], [], 0
+
+            def look(ps=ps, qs=qs, r=r, n=n, hit=hit, band=band, bands=bands):
+                p, q = np.concatenate(ps), np.concatenate(qs)
+                first = (r[p] == r[q]).reshape(len(p), bands, rows).all(2).argmax(1) == band
+                p, q = p[first], q[first]
+                ok = estimate(r[p], r[q], n[p], n[q]) >= least
+                hit[p[ok]] = True
+                hit[q[ok]] = True
+                ps.clear()
+                qs.clear()
+
+            for p in range(len(v) - 1):
                 q = np.flatnonzero((c[p + 1 :] != c[p]) & (np.minimum(n[p + 1 :], n[p]) >= least * np.maximum(n[p + 1 :], n[p]))) + p + 1
                 if i != j:
                     q = q[own[q] != own[p]]
+                if hit[p]:
+                    q = q[~hit[q]]  # both are known to have a partner
                 if len(q):
                     # registers are equal a little more often than the sets' similarity: the cheap test comes first
                     q = q[_equal(r[q], r[p]) >= (least - 0.02) * r.shape[1]]
+                if len(q):
                     ps.append(np.full(len(q), p))
                     qs.append(q)
+                    held += len(q)
+                    if held > 20_000:
+                        look()
+                        held = 0
             if ps:
-                p, q = np.concatenate(ps), np.concatenate(qs)
-                ok = estimate(r[p], r[q], n[p], n[q]) >= least
-                left.extend(g[x]["k"] for x in p[ok])
-                right.extend(g[x]["k"] for x in q[ok])
-        return {"a": left, "b": right}
+                look()
+            at = np.flatnonzero(hit)
+            if len(at):
+                found.append(v.field("k").take(pa.array(at)))
+                buckets.append(np.full(len(at), bucket))
+        if not found:
+            return None
+        return {"bucket": pa.array(np.concatenate(buckets), pa.int64()), "k": pa.concat_arrays(found).cast(ids)}
+
+    return arrow_map(groups, fn, f"bucket long, k {kind}", 16).distinct()
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) sizes of the intersections of sorted distinct arrays; the diagonal counts shared elements only."""
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    doc, first = doc[order], np.concatenate(([0], np.cumsum(df)[:-1]))
+    out = np.zeros((n, n), np.int64)
+    for d in range(2, DENSE):
+        some = first[df == d]
+        if len(some):
+            m = doc[some[:, None] + np.arange(d)]
+            a, b = np.triu_indices(d, 1)
+            for x in range(0, len(m), 1 << 16):
+                out += np.bincount((m[x : x + (1 << 16), a] * n + m[x : x + (1 << 16), b]).ravel(), minlength=n * n).reshape(n, n)
+    out += out.T
+    dense = np.flatnonzero(df >= DENSE)
+    for x in range(0, len(dense), 2048):
+        part = dense[x : x + 2048]
+        has = np.zeros((n, len(part)), np.float32)
+        for k, t in enumerate(part):
+            has[doc[first[t] : first[t] + df[t]], k] = 1
+        out += (has @ has.T).astype(np.int64)  # exact: counts are under 2 ** 24
+    return out
+
+
+def _forest_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[int]:
+    """Which links (a, b) join components c that no link before has joined."""
+    root = {x: x for x in set(c.tolist())}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    def typed(batch: pa.RecordBatch) -> dict:
-        t = batch.schema.field("g").type.value_type.field("k").type
-        return {c: pa.array(v, t) for c, v in fn(batch).items()}
+    keep = []
+    for i, (p, q) in enumerate(zip(c[a].tolist(), c[b].tolist(), strict=True)):
+        p, q = top(p), top(q)
+        if p != q:
+            root[p] = q
+            keep.append(i)
+    return keep
 
-    return arrow_map(groups, typed, f"a {kind}, b {kind}", 64).distinct()
+
+def _met(members: DataFrame, kind: str, threshold: int) -> DataFrame:
+    """Links (a, b) of a spanning forest over all links of each bucket; members: (bucket, k, c, n, s)."""
+    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    groups = _dealt(members.join(sizes, "bucket"), F.col("blocks"), ["k", "c", "s"], members.sparkSession)
+
+    def fn(batch: pa.RecordBatch) -> dict:
+        left, right = [], []
+        for g in batch.column("g"):
+            v = g.values
+            sets = [np.frombuffer(x, np.uint64) for x in v.field("s").to_pylist()]
+            if len(sets) < 2:
+                continue
+            c = v.field("c").dictionary_encode().indices.to_numpy()
+            n = np.array([len(x) for x in sets])
+            both = intersections(sets)
+            a, b = np.nonzero(np.triu((100 * both >= threshold * (n[:, None] + n[None] - both)) & (c[:, None] != c[None]), 1))
+            keep = pa.array(_forest_of(a, b, c), pa.int64())
+            left.append(v.field("k").take(pa.array(a).take(keep)))
+            right.append(v.field("k").take(pa.array(b).take(keep)))
+        if not left:
+            return None
+        return {"a": pa.concat_arrays(left), "b": pa.concat_arrays(right)}
+
+    return arrow_map(groups.select("g"), fn, f"a {kind}, b {kind}", 8)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +327,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     Empty tables give an empty result. Two documents at similarity 0.8 share none of 32 bands of 4 registers with
     a chance of under 1e-7.
     """
+    if bands > MAX_BANDS:
+        raise ValueError(f"at most {MAX_BANDS} bands")
     least = threshold / 100 - MARGIN
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t"))
@@ -257,10 +363,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     named = shared.select("bucket", "cnt", F.col("b").alias("k")).join(comp.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     several = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     mixed = named.join(several, "bucket").join(reps, "k").select("bucket", "cnt", "k", "c", "n", "regs")
-    more = materialize(_verified(_across(mixed, kind, least), sets, kind, threshold), "more")
+    likely2 = materialize(_across(mixed, kind, least, rows), "likely")
+    member2 = likely2.join(reps.select("k", "n"), "k").join(comp.select(F.col("node").alias("k"), "component"), "k", "left").join(sets, "k")
+    more = materialize(_met(member2.select("bucket", "k", F.coalesce("component", "k").alias("c"), "n", "s"), kind, threshold), "more")
     if more.take(1):
         comp = materialize(connected_components(links.unionByName(more)), "comp2")
-    discard(likely, shared, sets)
+    discard(likely, likely2, shared, sets)
 
     named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k", "n", F.coalesce("component", "rep").alias("c"))
     rest = sk.where("NOT (n > 0 AND k IS NOT NULL)").select("k", "n", F.col("k").alias("c"))
