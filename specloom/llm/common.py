@@ -76,6 +76,14 @@ def has_repeated_ids(df: DataFrame, id_col: str) -> bool:
     return bool(df.groupBy(F.col(id_col)).count().where("count > 1").take(1))
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name like base that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1024) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows; fn gives the columns of the output in schema's order."""
 

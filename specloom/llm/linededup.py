@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import SPACES, arrow_map, discard, has_repeated_ids, materialize, text_bytes
+from specloom.llm.common import SPACES, arrow_map, fresh_name, has_repeated_ids, materialize, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -91,15 +91,16 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     names = docs.columns
     base = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t"))
     drops, _ = dropped_keys(base, min_docs, min_chars)
-    drops = drops.select(F.col("k").alias("_k_"), F.col("drops").alias("_drops_"))
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_k_")), "left").drop("_k_")
+    key, lines = fresh_name(docs, "_k_"), fresh_name(docs, "_drops_")
+    drops = drops.select(F.col("k").alias(key), F.col("drops").alias(lines))
+    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(key)), "left").drop(key)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
                 col = b.schema.get_field_index(text_col)
-                lost = b.column(b.schema.get_field_index("_drops_")).to_pylist()
+                lost = b.column(b.schema.get_field_index(lines)).to_pylist()
                 if any(lost):
                     texts = b.column(col).cast(pa.binary()).to_pylist()
                     for i, drop in enumerate(lost):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, binary_slices, discard, materialize, mix64, partitions, shingle_sets, text_bytes
+from specloom.llm.common import arrow_map, binary_slices, discard, fresh_name, materialize, mix64, partitions, shingle_sets, text_bytes
 from specloom.llm.graph import connected_components
 
 WIDTH = 4
@@ -377,10 +377,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
 
 
 def keep_one_each(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the one of the smallest id. Other rows and columns stay."""
+    """docs with one document of each near-duplicate group: the one of the smallest id. Other rows and columns stay.
+
+    An id stays with all its rows if one of them is its group's; null ids stay.
+    """
     found = near_duplicates(docs, width, threshold, id_col=id_col, text_col=text_col)
-    gone = found.where("NOT kept").select(F.col(id_col).alias("_gone_")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone_"), "left_anti").select(*docs.columns)
+    name = fresh_name(docs, "_gone_")
+    gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).agg(F.max("kept").alias("stays")).where("NOT stays").select(name)
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col(name), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
