@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STATUSES = {"reviewed": ("good", "Reviewed"), "confirmed": ("good", "Reviewed"), "extracted": ("auto", "Extracted"), "updated": ("warn", "Updated"), "needs-check": ("warn", "Needs check")}
+from specloom.fixed import STATUS_LABELS
+
 COUNTRIES = {"CN": "China", "DE": "Germany", "ES": "Spain", "FR": "France", "IT": "Italy", "JP": "Japan", "KR": "South Korea", "US": "United States", "GB": "United Kingdom", "IN": "India", "CH": "Switzerland", "DK": "Denmark"}
 
 
@@ -14,11 +15,11 @@ def _mapped(c: Column, pairs: dict[str, str]) -> Column:
 
 
 def status_label(c: Column) -> Column:
-    return F.coalesce(_mapped(c, {k: v[1] for k, v in STATUSES.items()}), c)
+    return F.coalesce(_mapped(c, {k: v[1] for k, v in STATUS_LABELS.items()}), c)
 
 
 def status_tone(c: Column) -> Column:
-    return F.coalesce(_mapped(c, {k: v[0] for k, v in STATUSES.items()}), F.lit("none"))
+    return F.coalesce(_mapped(c, {k: v[0] for k, v in STATUS_LABELS.items()}), F.lit("none"))
 
 
 def country_name(c: Column) -> Column:

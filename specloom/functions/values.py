@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from specloom.fixed import CONDITION, DERATING_AFTER, DERATING_BEFORE, NUMBER, TEMPERATURES, UNITS, YES_LIKE
 from specloom.functions.text import normalize_dashes, squeeze
 
-NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
 RESULT = "array<struct<text:string,number:double>>"
 
 
@@ -65,11 +65,8 @@ def range_value(c: Column, units: str) -> Column:
     return _filled(F.transform(both, lambda x: F.struct(F.concat(clean_number(x["a"]), F.lit("–"), clean_number(x["b"])).alias("text"), F.lit(None).cast("double").alias("number"))))
 
 
-_TEMPS = rf"(?iU)(?:from\s*)?({NUMBER})\s*°?\s*C?\s*(?:~|to|-)\s*\+?({NUMBER})\s*°\s*C"
-
-
 def _temperature(c: Column, group: int) -> Column:
-    n = F.regexp_extract(normalize_dashes(c), _TEMPS, group)
+    n = F.regexp_extract(normalize_dashes(c), "(?iU)" + TEMPERATURES, group)
     return _one(F.length(n) > 0, clean_number(n), to_double(n))
 
 
@@ -83,8 +80,8 @@ def temp_max(c: Column) -> Column:
 
 def derating(c: Column) -> Column:
     t = normalize_dashes(c)
-    before = F.regexp_extract(t, r"(?iU)(?:>\s*|above\s*\+?)(\d+)\s*°\s*C[^.;]*?derat", 1)
-    after = F.regexp_extract(t, r"(?iU)de-?rat\w*\s+above\s*\+?(\d+)\s*°\s*C", 1)
+    before = F.regexp_extract(t, "(?iU)" + DERATING_BEFORE, 1)
+    after = F.regexp_extract(t, "(?iU)" + DERATING_AFTER, 1)
     n = F.when(F.length(before) > 0, before).otherwise(after)
     return _one(F.length(n) > 0, F.concat(F.lit("Above "), n, F.lit(" °C")))
 
@@ -116,18 +113,16 @@ def power_factor(c: Column) -> Column:
 
 def yes_like(c: Column) -> Column:
     t = F.trim(c)
-    return _one(F.regexp_like(t, F.lit(r"(?iuU)^(standard|yes|optional|available|included|no)(\s*\(.*\))?$")), t)
+    return _one(F.regexp_like(t, F.lit("(?iuU)" + YES_LIKE)), t)
+
+
+def _of_unit(name: str) -> Callable[[Column], Column]:
+    read = range_value if name.endswith("_range") else number_with_unit
+    return lambda c: read(c, UNITS[name])
 
 
 PARSERS: dict[str, Callable[[Column], Column]] = {
-    "kva": lambda c: number_with_unit(c, "kVA|MVA"),
-    "kw": lambda c: number_with_unit(c, "kW|MW"),
-    "volt": lambda c: number_with_unit(c, "V|VDC"),
-    "ampere": lambda c: number_with_unit(c, "A|ADC"),
-    "hertz": lambda c: number_with_unit(c, "Hz"),
-    "percent": lambda c: number_with_unit(c, "%"),
-    "kilogram": lambda c: number_with_unit(c, "kg"),
-    "volt_range": lambda c: range_value(c, "V|VDC"),
+    **{name: _of_unit(name) for name in UNITS},
     "number": plain_number,
     "text": text_value,
     "temp_min": temp_min,
@@ -161,7 +156,7 @@ def pick(values: Column, how: Column) -> Column:
 
 def conditions(c: Column) -> Column:
     """Conditions after an @ sign, each once, comma-joined."""
-    found = F.regexp_extract_all(normalize_dashes(c), F.lit(r"(?U)(\(\s*@[^)]*\)|@\s*[-\d.]+\s*°\s*C|@\s*\d+\s*V\w*)"), F.lit(1))
+    found = F.regexp_extract_all(normalize_dashes(c), F.lit("(?U)" + CONDITION), F.lit(1))
     return F.array_join(F.array_distinct(F.transform(found, lambda x: F.btrim(x, F.lit("() ")))), ", ")
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specloom.fixed import DISPOSITION_NAME, URL_KEPT
+
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
@@ -24,35 +26,38 @@ def url_host(c: Column) -> Column:
 
 
 def _encoded(c: Column) -> Column:
-    """Blanks and non-ASCII letters percent-encoded; escapes and other characters stay."""
-    pieces = F.regexp_extract_all(c, F.lit(r"([\x21-\x7e]+|[^\x21-\x7e])"), F.lit(1))
-    hexed = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit(r"^[\x21-\x7e]")), p).otherwise(F.regexp_replace(F.hex(p.cast("binary")), "(..)", "%$1")))
+    """Characters that an address may not hold as they are, percent-encoded; escapes stay."""
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)([{URL_KEPT}]+|.)"), F.lit(1))
+    hexed = F.transform(pieces, lambda p: F.when(F.regexp_like(p, F.lit(rf"^[{URL_KEPT}]")), p).otherwise(F.regexp_replace(F.hex(p.cast("binary")), "(..)", "%$1")))
     return F.array_join(hexed, "")
 
 
+def _decoded(c: Column) -> Column:
+    """Percent escapes decoded, a plus left alone; text with broken escapes stays."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
 def canonical_url(c: Column) -> Column:
-    """http(s) only, no credentials, host in lower case, default ports and fragments out, path '/' at least; else null."""
+    """http(s) only, no credentials, host in lower case, ports 80 and 443 and fragments out, path '/' at least; else null."""
+    c = F.trim(c)
     scheme, authority = url_scheme(c), F.regexp_extract(c, _URL, 2)
     port = F.regexp_extract(authority, r":(\d+)$", 1)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     path, query = F.regexp_extract(c, _URL, 3), F.regexp_extract(c, _URL, 4)
     path = F.when(path == "", F.lit("/")).otherwise(_encoded(path))
-    out = F.concat(scheme, F.lit("://"), url_host(c), F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, _encoded(query))
+    out = F.concat(scheme, F.lit("://"), url_host(c), F.when(port.isin("", "80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, F.when(query == "?", F.lit("")).otherwise(_encoded(query)))
     return F.when(scheme.isin("http", "https") & ~F.contains(authority, F.lit("@")) & (url_host(c) != ""), out)
 
 
 def url_file_name(url: Column) -> Column:
     """Last part of the path, decoded; datasheet.pdf if it is empty."""
-    name = F.regexp_extract(F.regexp_extract(url, _URL, 3), r"([^/]*)$", 1)
-    name = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    name = _decoded(F.regexp_extract(F.regexp_extract(url, _URL, 3), r"([^/]*)/*$", 1))
     return F.when(F.length(name) > 0, name).otherwise(F.lit("datasheet.pdf"))
 
 
 def filename_for(disposition: Column, url: Column) -> Column:
-    """The name that a Content-Disposition header gives, else the address's."""
-    star = F.try_url_decode(F.replace(F.regexp_extract(F.coalesce(disposition, F.lit("")), r"(?i)filename\*\s*=\s*[\w-]*'[^']*'([^;]+)", 1), F.lit("+"), F.lit("%2B")))
-    plain = F.trim(F.regexp_extract(F.coalesce(disposition, F.lit("")), r'(?i)filename\s*=\s*"?([^";]+)"?', 1))
-    return F.when(F.length(star) > 0, F.trim(star)).when(F.length(plain) > 0, plain).otherwise(url_file_name(url))
+    """The first file name that a Content-Disposition header gives, decoded, else the address's."""
+    named = F.regexp_extract(F.coalesce(disposition, F.lit("")), DISPOSITION_NAME, 1)
+    return F.when(F.length(named) > 0, _decoded(F.trim(named))).otherwise(url_file_name(url))
 
 
 def hrefs(html: Column) -> Column:
@@ -101,7 +106,7 @@ def anchors(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 def datasheet_links(links: DataFrame, allowed_hosts: list[str], patterns: list[str], suffix: str = ".pdf") -> DataFrame:
     """Links to wanted files on allowed hosts, each page's first occurrence of an address only; no patterns accept all."""
-    hay = F.lower(F.concat_ws(" ", F.try_url_decode(F.replace(F.col("url"), F.lit("+"), F.lit("%2B"))), "label"))
+    hay = F.lower(F.concat_ws(" ", _decoded(F.col("url")), "label"))
     wanted = F.lit(True) if not patterns else F.exists(F.array(*[F.lit(p.lower()) for p in patterns]), lambda p: F.contains(hay, p))
     path = F.lower(F.regexp_extract("url", _URL, 3))
     kept = links.withColumn("url", canonical_url(F.col("url"))).where(F.col("url").isNotNull() & url_host(F.col("url")).isin(*allowed_hosts) & (F.endswith(path, F.lit(suffix)) | F.col("download")) & wanted)
