@@ -85,6 +85,11 @@ def lines(pages: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     return out.select("document", "page", "line", "text", "cells", F.col("own").isNotNull().alias("is_header"), "header", F.coalesce(F.max(F.size("own.models")).over(whole) > 1, F.lit(False)).alias("multi"))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a generator of one row, into which no later filter or projection is merged."""
+    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _by_rule(rule_no: Column, value) -> Column:
     """A null-safe CASE over the rules: value(rule) is a literal or a Column, None gives null."""
     out = F.lit(None)
@@ -148,6 +153,11 @@ def read_rows(ls: DataFrame) -> DataFrame:
     how = _by_rule(rule, lambda r: F.lit(r.pick))
     first = F.element_at("o.cells", 1)
     each = each.withColumns({"field_name": field, "kind": kind, "how": how, "label_text": tx.squeeze(F.col("label.text")), "line_text": tx.squeeze(F.col("o.text")), "same_line": F.col("o.line") == F.col("line")})
+    # every text that may be a value is parsed once: the option's cells, then the first cells of the lines below
+    below = [F.get(f"next{k}.cells", F.lit(0))["text"] for k in range(1, CONTINUATION_LINES + 1)]
+    texts = F.concat(F.transform("o.cells", lambda c: c["text"]), F.array(*below))
+    each = _once(each, "parsed", F.transform(texts, lambda t: F.coalesce(vl.parse(F.col("kind"), t), F.array().cast(vl.RESULT))))
+    each = _once(each, "parsed", F.transform("parsed", lambda v: _with_note(v, F.col("label_text"), rule)))
     in_table = F.coalesce((F.size("header.models") > 1) & (first["start"] >= F.col("header.start") - TABLE_LEFT_SLACK), F.lit(False))
     return _table_values(each.where(in_table)).unionByName(_single_values(each.where(~in_table)))
 
@@ -155,12 +165,12 @@ def read_rows(ls: DataFrame) -> DataFrame:
 def _table_values(each: DataFrame) -> DataFrame:
     """Multi-model tables: each cell's value for every model column that the cell covers."""
     key = [*_ROW, "option"]
-    rows = each.withColumn("table", F.filter("o.cells", lambda c: c["start"] >= F.col("header.start") - TABLE_LEFT_SLACK))
+    with_values = F.transform("o.cells", lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), F.get("parsed", i).alias("values")))
+    rows = each.withColumn("table", F.filter(with_values, lambda c: c["start"] >= F.col("header.start") - TABLE_LEFT_SLACK))
     groups = assign_columns(rows.select(*key, F.transform("table", lambda c: (c["start"] + c["end"]) / 2.0).alias("x"), F.col("header.centers").alias("c")), key, "x", "c")
     met = rows.join(groups, key)
     cells = met.select("*", F.posexplode(F.arrays_zip(F.col("table").alias("cell"), F.col("firsts").alias("a"), F.col("lasts").alias("b"))).alias("cell_no", "z"))
-    chosen = vl.pick(_with_note(vl.parse(F.col("kind"), F.col("z.cell.text")), F.col("label_text"), F.col("rule_no")), F.col("how"))
-    cells = cells.withColumn("v", chosen).where("v IS NOT NULL")
+    cells = _once(cells, "v", vl.pick(F.col("z.cell.values"), F.col("how"))).where("v IS NOT NULL")
     cells = cells.withColumn("column_no", F.explode(F.sequence("z.a", "z.b")))
     model = F.get("header.models", F.col("column_no"))
     evidence = F.concat(F.col("label_text"), F.lit(" — "), model, F.lit(": "), tx.squeeze(F.col("z.cell.text")))
@@ -169,11 +179,9 @@ def _table_values(each: DataFrame) -> DataFrame:
 
 def _single_values(each: DataFrame) -> DataFrame:
     """One model: the first value cell and, after a colon, the lines aligned under it."""
-    kind, rule = F.col("kind"), F.col("rule_no")
-    each = each.withColumn("first", F.element_at("o.cells", 1))
-    each = each.withColumn("parsed", vl.parse(kind, F.col("first.text")))
-    lead = F.get("parsed", F.lit(0))["number"]
-    others = F.flatten(F.transform(F.slice("o.cells", 2, F.size("o.cells")), lambda c: F.coalesce(vl.parse(kind, c["text"]), F.array().cast(vl.RESULT))))
+    each = each.withColumns({"first": F.element_at("o.cells", 1), "n_cells": F.size("o.cells")})
+    lead = F.get(F.get("parsed", F.lit(0)), F.lit(0))["number"]
+    others = F.flatten(F.slice("parsed", F.lit(2), F.greatest(F.col("n_cells") - 1, F.lit(0))))
     clash = lead.isNotNull() & F.col("same_line") & F.exists(others, lambda v: v["number"].isNotNull() & (v["number"] != lead))
     each = each.where(~F.coalesce(clash, F.lit(False)))
 
@@ -182,18 +190,16 @@ def _single_values(each: DataFrame) -> DataFrame:
     for k in range(1, CONTINUATION_LINES + 1):
         cell = F.get(f"next{k}.cells", F.lit(0))
         good = good & F.coalesce((F.abs(cell["start"] - start) <= CONTINUATION_SLACK) | (F.abs(cell["end"] - end) <= CONTINUATION_SLACK), F.lit(False))
-        extra.append(F.when(good, cell["text"]))
-    each = each.withColumn("texts", F.array_compact(F.array(F.col("first.text"), *extra)))
-
-    def of(t: Column) -> Column:
-        parsed = F.coalesce(_with_note(vl.parse(kind, t), F.col("label_text"), rule), F.array().cast(vl.RESULT))
-        return F.transform(parsed, lambda v: F.struct(v["text"].alias("text"), v["number"].alias("number"), t.alias("of")))
-
-    each = each.withColumn("found", F.flatten(F.transform("texts", of))).where(F.size("found") > 0)
+        extra.append(F.when(good, F.struct(cell["text"].alias("text"), F.get("parsed", F.col("n_cells") + k - 1).alias("values"))))
+    own = F.struct(F.col("first.text").alias("text"), F.get("parsed", F.lit(0)).alias("values"))
+    each = each.withColumn("read", F.array_compact(F.array(own, *extra)))
+    found = F.flatten(F.transform("read", lambda x: F.transform(x["values"], lambda v: F.struct(v["text"].alias("text"), v["number"].alias("number"), x["text"].alias("of")))))
+    each = _once(each.withColumn("texts", F.transform("read", lambda x: x["text"])), "found", found).where(F.size("found") > 0)
+    each = _once(each, "best", vl.pick(F.col("found"), F.col("how")))
     head, many = F.get("found", F.lit(0)), F.size("texts") > 1
     is_text = head["number"].isNull()
     joined = F.array_join(F.array_distinct(F.transform("found", lambda v: v["text"])), "; ")
-    best = vl.pick(F.col("found"), F.col("how"))
+    best = F.col("best")
     value = F.when(is_text & many, joined).when(is_text, head["text"]).otherwise(best["text"])
     number = F.when(~is_text, best["number"])
     cell_text = F.when(is_text, F.array_join("texts", " ")).otherwise(best["of"])
