@@ -81,7 +81,9 @@ def title_from_filename(c: Column) -> Column:
 
 
 def initials(c: Column) -> Column:
-    return F.substring(F.regexp_replace(c, "[^A-Z0-9]", ""), 1, 2)
+    """The first two capitals or digits, else the first two letters."""
+    caps = F.regexp_replace(c, "[^A-Z0-9]", "")
+    return F.upper(F.substring(F.when(F.length(caps) > 1, caps).otherwise(c), 1, 2))
 
 
 def natural_key(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specloom.functions import display, text, values, web
 from specloom.operators import columns
 from specloom.operators import relational as rel
+from specloom.plans import flows
 
 QUERIES = {}
 SQL = {}
@@ -396,6 +397,16 @@ def unique_document_ids(spark, d):
     return rel.unique_ids(p, "base", [F.col("p_partkey")]).select("p_partkey", "id")
 
 
-@_query("""SELECT doc_id, CASE WHEN n >= 1000000 THEN 'MB' WHEN n >= 1000 THEN 'kB' ELSE 'B' END AS unit FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
+@_query("""SELECT doc_id, CASE WHEN n < 1048576 THEN CAST(round(CAST(n AS DOUBLE) / 1024) AS BIGINT) || ' KB' ELSE printf('%.1f MB', CAST(n AS DOUBLE) / 1048576) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
 def size_units(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.regexp_extract(display.file_size(F.octet_length("text")), r"([A-Za-z]+)$", 1).alias("unit"))
+    return _t(spark, d, "documents").select("doc_id", display.file_size(F.octet_length("text")).alias("size"))
+
+
+@_query(r"""SELECT p_partkey, regexp_replace(CAST(p_partkey * 7919 AS VARCHAR), '(\d)(\d{3})(\d{3})?$', '\1,\2') AS text FROM part WHERE p_partkey * 7919 BETWEEN 1000 AND 999999""")
+def grouped_digits(spark, d):
+    n = F.col("p_partkey") * 7919
+    return _t(spark, d, "part").where(n.between(1000, 999_999)).select("p_partkey", display.group_digits(n.cast("string")).alias("text"))
+
+
+QUERIES |= flows.QUERIES
+SQL |= flows.SQL

@@ -107,7 +107,7 @@ def test_model_view(t):
 
 
 def test_library_updates_and_status(t):
-    assert ids(q.library(t, "sheet"), "id", "size", "n_revisions") == [("doc", "1.5 MB", 2)]
+    assert ids(q.library(t, "sheet"), "id", "size", "n_revisions") == [("doc", "1.4 MB", 2)]
     assert q.library(t, "nothing").count() == 0
     assert ids(q.waiting_suppliers(t), "id") == ["zeta"]
     got = ids(q.updates(t), "type", "supplier", "n", "total")
