@@ -85,7 +85,7 @@ def p_value(run: Column) -> Column:
     s = F.regexp_replace(run, "=+$", "")
     n = F.greatest(F.length(s), F.lit(2)).cast("double")
     size, same, _ = (_by_encoding(s, k) for k in (1, 2, 3))
-    letters = F.split(s, "(?!^)")
+    letters = F.regexp_extract_all(s, F.lit("."), F.lit(0))
     squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, x: a + F.pow(F.length(s) - F.length(F.replace(s, x, F.lit(""))), F.lit(2)))
     df = size - 1
     chi = F.greatest(size / n * squares - n, F.lit(0.0))
