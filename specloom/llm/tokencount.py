@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, materialize, scratch_dir, text_bytes
+from specloom.llm.common import arrow_map, has_repeated_ids, materialize, scratch_dir, text_bytes
 from specloom.llm.packing import tokenizer_path
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -78,8 +78,10 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     reps = digests.groupBy("digest").agg(F.min("k").alias("k")).join(stored.select("digest"), "digest", "left_anti")
     keyed = reps.select(F.col("k").alias("rk"), F.col("digest").alias("want"))
     texts = base.withColumn("digest", F.unhex(F.sha2("t", 256)))
-    # rows of one id may hold several texts: the digest says which one is wanted; two rows of one text give equal counts
+    # rows of one id may hold several texts: the digest says which one is wanted
     misses = texts.join(keyed.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("rk")) & (F.col("digest") == F.col("want")), "left_semi").select("digest", "t")
+    if has_repeated_ids(docs, id_col):  # else each digest has one row
+        misses = misses.dropDuplicates(["digest"])
 
     def fn(batch: pa.RecordBatch) -> dict:
         texts = batch.column("t").to_pylist()
