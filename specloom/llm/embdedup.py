@@ -6,9 +6,10 @@ cut into blocks of bounded size. It is refined by neighbours-of-neighbours joins
 that it lists, meet in blocks, and each takes the best of them into its own list. Lists hold K neighbours of
 cosine CLOSE or more, as rows, so a popular vector is never gathered in one place.
 
-A list that is full of links may lack some: it is saturated. Lists of a component with a saturated vector are
-enlarged to the whole component: its members meet block by block, and only their numbers of links come out, never
-the pairs. Recall is audited: a bounded sample of vectors is compared with all vectors, and further forests are
+A list that is full of links may lack some: it is saturated. Lists of components with a saturated vector are enlarged
+to all members of such components, as a link that no list holds has two saturated ends: the members meet block by
+block, but for blocks that lie too far apart for a link. Only their numbers of links and the components that links
+join come out, never the pairs. Recall is audited: a bounded sample of vectors is compared with all vectors, and further forests are
 grown while it is below RECALL.
 """
 
@@ -30,6 +31,7 @@ K = 16
 BUCKET = 256
 BLOCK = 512
 WIDE_BLOCK = 2048
+CENTRES = 4096
 MISS = 0.002
 ROUNDS = 4
 AUDIT = 256
@@ -151,30 +153,87 @@ def _descend(lists: DataFrame, reps: DataFrame, kind: str, k: int, close: float)
     return _top(lists.unionByName(_best(groups, kind, k, close)), k)
 
 
-def _enlarged(members: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(k, n): links of each member (component, k, v, m) within its component, each weighed by the class size m."""
+def _near_blocks(blocks: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(ci, i, cj, j): pairs of blocks (component, blk, g), each once, that may hold a link: their centres are no further
+    apart than both radii and the threshold's angle, so no other pair of blocks has one."""
+
+    def centre(batch: pa.RecordBatch) -> dict:
+        mid, wide = [], []
+        for g in batch.column("g"):
+            x = _matrix(g.values.field("v"))
+            c = x.mean(0)
+            size = np.sqrt((c * c).sum())
+            c = c / size if size > 1e-9 else x[0]
+            mid.append(c.tobytes())
+            wide.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+        return {"component": batch.column("component"), "blk": batch.column("blk"), "mid": pa.array(mid, pa.binary()), "wide": pa.array(wide)}
+
+    centres = materialize(arrow_map(blocks, centre, f"component {kind}, blk int, mid binary, wide double", 64), "centres")
+    parts = math.ceil(centres.count() / CENTRES) or 1
+    cells = centres.groupBy(F.pmod(F.xxhash64("component", "blk"), F.lit(parts)).alias("p")).agg(F.collect_list(F.struct("component", "blk", "mid", "wide")).alias("x"))
+    met = cells.crossJoin(cells.select(F.col("p").alias("o"), F.col("x").alias("y"))).where("p <= o").repartition(partitions(blocks.sparkSession), "p", "o")
+    reach = math.acos(threshold) + 1e-6
+
+    def fn(batch: pa.RecordBatch) -> dict | None:
+        out = [[], [], [], []]
+        for p, o, x, y in zip(batch.column("p").to_pylist(), batch.column("o").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            u, w = x.values, y.values
+            lu, lw = (np.array([len(v) for v in t.field("mid").to_pylist()]) for t in (u, w))
+            for d in np.intersect1d(lu, lw):  # vectors of other lengths have no cosine
+                at, to = np.flatnonzero(lu == d), np.flatnonzero(lw == d)
+                a, b = _matrix(u.field("mid").take(pa.array(at))), _matrix(w.field("mid").take(pa.array(to)))
+                ra, rb = u.field("wide").to_numpy()[at], w.field("wide").to_numpy()[to]
+                for s in range(0, len(at), 1024):
+                    near = np.arccos(np.clip(a[s : s + 1024] @ b.T, -1, 1)) <= ra[s : s + 1024, None] + rb + reach
+                    r, c = np.nonzero(near)
+                    r += s
+                    if p == o:
+                        r, c = r[r <= c], c[r <= c]
+                    for k, (t, i) in enumerate(((u, at[r]), (u, at[r]), (w, to[c]), (w, to[c]))):
+                        out[k].append(t.field(("component", "blk")[k % 2]).take(pa.array(i)))
+        if not out[0]:
+            return None
+        return {n: pa.concat_arrays(x) for n, x in zip(("ci", "i", "cj", "j"), out, strict=True)}
+
+    return arrow_map(met, fn, f"ci {kind}, i int, cj {kind}, j int", 1)
+
+
+def _enlarged(members: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(k, n): links of each member (component, k, v, m) with all members, each weighed by the class size m; and (a, b): components that links join."""
     sizes = members.groupBy("component").agg(F.count("*").alias("cnt"))
     cut = members.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("k"), F.ceil(F.col("cnt") / WIDE_BLOCK).cast("long")).cast("int"))
     blocks = materialize(cut.groupBy("component", "blk").agg(F.collect_list(F.struct("k", "v", "m")).alias("g")), "blocks")
-    left, right = blocks.withColumnsRenamed({"blk": "i", "g": "x"}), blocks.withColumnsRenamed({"blk": "j", "g": "y"})
-    met = left.join(right, "component").where("i <= j").repartition(partitions(members.sparkSession), "component", "i", "j")
+    left, right = blocks.toDF("ci", "i", "x"), blocks.toDF("cj", "j", "y")
+    met = _near_blocks(blocks, kind, threshold).join(left, ["ci", "i"]).join(right, ["cj", "j"]).repartition(partitions(members.sparkSession), "ci", "i", "cj", "j")
 
     def fn(batch: pa.RecordBatch) -> dict:
-        ids, counts = [], []
-        for i, j, x, y in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+        ids, counts, joins = [], [], []
+        for row, (ci, i, cj, j, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ci", "i", "cj", "j")), batch.column("x"), batch.column("y"), strict=True)):
             a, b = _matrix(x.values.field("v")), _matrix(y.values.field("v"))
             ma, mb = x.values.field("m").to_numpy(), y.values.field("m").to_numpy()
             linked = a @ b.T >= threshold
-            if i == j:
+            if (ci, i) == (cj, j):
                 np.fill_diagonal(linked, False)
             else:
                 ids.append(y.values.field("k"))
                 counts.append(ma @ linked)
+                if ci != cj and linked.any():
+                    joins.append(row)
             ids.append(x.values.field("k"))
             counts.append(linked @ mb)
-        return {"k": pa.concat_arrays(ids), "n": pa.array(np.concatenate(counts).astype(np.int64))}
+        ids, joins = pa.concat_arrays(ids), pa.array(joins, pa.int64())
+        own, none = pa.nulls(len(ids), ids.type), pa.nulls(len(joins), ids.type)
+        n = np.concatenate([*counts, np.zeros(len(joins), np.int64)]).astype(np.int64)
+        return {"k": pa.concat_arrays([ids, none]), "n": pa.array(n), "a": pa.concat_arrays([own, batch.column("ci").take(joins)]), "b": pa.concat_arrays([own, batch.column("cj").take(joins)])}
+
+    out = materialize(arrow_map(met, fn, f"k {kind}, n long, a {kind}, b {kind}", 4).groupBy("k", "a", "b").agg(F.sum("n").alias("n")), "wide")
+    return out.where("k IS NOT NULL").select("k", "n"), out.where("k IS NULL").select("a", "b")
+
 
-    return arrow_map(met, fn, f"k {kind}, n long", 4).groupBy("k").agg(F.sum("n").alias("n"))
+def _joined(comp: DataFrame, joins: DataFrame) -> DataFrame:
+    """comp (k, component) with the components united that joins (a, b) name."""
+    new = connected_components(joins).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return materialize(comp.join(new, "component", "left").select("k", F.coalesce("to", "component").alias("component")), "comp")
 
 
 def audit(reps: DataFrame, found: DataFrame, threshold: float, n: int, sample: int = AUDIT) -> float:
@@ -245,10 +304,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         comp = materialize(connected_components(links).select(F.col("node").alias("k"), "component"), "comp")
         full = lists.groupBy("id").agg(F.count("*").alias("c"), F.min("sim").alias("low")).where((F.col("c") >= k) & (F.col("low") >= threshold)).select(F.col("id").alias("k"))
         wide = comp.join(full, "k").select("component").distinct()
-        counted = _enlarged(comp.join(wide, "component").join(reps, "k").select("component", "k", "v", "m"), kind, threshold)
+        counted, joins = _enlarged(comp.join(wide, "component").join(reps, "k").select("component", "k", "v", "m"), kind, threshold)
         both = links.select(F.col("a").alias("k"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("k"), F.col("a").alias("o")))
         narrow = both.join(comp.join(wide, "component", "left_anti"), "k").join(reps.select(F.col("k").alias("o"), "m"), "o").groupBy("k").agg(F.sum("m").alias("n"))
         found = materialize(counted.unionByName(narrow), "found")
+        comp = _joined(comp, joins)
         if audit(reps, found, threshold, n) >= RECALL:
             break
 

@@ -85,3 +85,20 @@ def test_rotation(spark):
     out = [(r.conv_id, r.perspective, r.part, r.n_turns, r.rendered, [(m.start, m.end) for m in r.mask]) for r in chat.rotate(df).collect()]
     assert sorted(out, key=repr) == brute(TURNS)
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_embedding_links_between_full_groups(spark):
+    """Two clumps of 40 with links across, none of which is among any vector's 16 nearest."""
+    g = np.random.default_rng(3)
+    a = np.zeros(64)
+    a[0] = 1
+    b = np.zeros(64)
+    b[:2] = 0.965, np.sqrt(1 - 0.965**2)
+    x = np.concatenate([c + g.normal(0, 0.003, (40, 64)) for c in (a, b)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T >= embdedup.THRESHOLD
+    np.fill_diagonal(s, False)
+    assert s[:40, 40:].any() and s[:40, :40].sum() == 40 * 39
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicates(df).collect()}
+    assert out == {i: (int(s[i].sum()), 0, i == 0) for i in range(80)}
