@@ -1,26 +1,38 @@
 """Assigns the k cells of a table row to its n model columns, merged cells covering several.
 
 Columns are cut into k contiguous groups; the squared distances of cells from their groups' mean columns are summed,
-and the cut of the smallest sum wins, ties by the smallest group starts from the last group backwards. All cuts of n
-columns into k groups are a small table (2^(n-1) rows in all for one n), so the search is a broadcast join and a
-min_by. A row with more than MAX_COLUMNS columns is refused.
+and the cut of the smallest sum wins, ties by the smallest group starts from the last group backwards. A dynamic
+programme over cells and columns finds it within the row, for any number of columns.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 10
 LONE_SPACING = 40.0
 
 
-def cuts(spark: SparkSession, most: int = MAX_COLUMNS) -> DataFrame:
-    """(n, k, starts): starts of the groups, 0 first; 2^most - 1 rows."""
-    rows = [(n, k, [0, *inner]) for n in range(1, most + 1) for k in range(1, n + 1) for inner in combinations(range(1, n), k - 1)]
-    return spark.createDataFrame(rows, "n int, k int, starts array<int>")
+def _starts(x: Column, c: Column) -> Column:
+    """Group starts (from 0) of the best cut of the columns c into as many groups as there are cells x."""
+    n = F.size(c)
+    # best[j]: cost and group starts, last first, of the cells so far over the first j columns; null where there is no cut
+    zero = F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("starts"))
+    none = F.lit(None).cast("struct<cost:double,starts:array<int>>")
+    begin = F.transform(F.sequence(F.lit(0), n), lambda j: F.when(j == 0, zero).otherwise(none))
+
+    def step(best: Column, v: Column) -> Column:
+        def at(j: Column) -> Column:
+            def cut(a: Column) -> Column:
+                mean = F.aggregate(F.slice(c, a + 1, j - a), F.lit(0.0), lambda s, y: s + y) / (j - a)
+                old = F.get(best, a)
+                return F.struct((old["cost"] + F.pow(v - mean, F.lit(2.0))).alias("cost"), F.concat(F.array(a), old["starts"]).alias("starts"))
+
+            return F.array_min(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda a: (a < j) & F.get(best, a).isNotNull()), cut))
+
+        return F.transform(F.sequence(F.lit(0), n), at)
+
+    return F.reverse(F.aggregate(x, begin, step, lambda best: F.get(best, n)["starts"]))
 
 
 def assign_columns(df: DataFrame, key: list[str], cells: str, centers: str) -> DataFrame:
@@ -29,16 +41,12 @@ def assign_columns(df: DataFrame, key: list[str], cells: str, centers: str) -> D
     Keys without cells, with more cells than columns, or with a cell further than one spacing outside its group give
     no row.
     """
-    spark = df.sparkSession
-    own = df.select(*key, F.col(cells).alias("x"), F.col(centers).alias("c")).where((F.size("x") > 0) & (F.size("x") <= F.size("c")) & (F.size("c") <= MAX_COLUMNS))
-    table = F.broadcast(cuts(spark))
-    met = own.join(table, (F.size("c") == F.col("n")) & (F.size("x") == F.col("k")))
-    lasts = F.transform("starts", lambda s, i: F.when(i + 1 < F.size("starts"), F.get("starts", i + 1) - 1).otherwise(F.col("n") - 1))
-    met = met.withColumn("lasts", lasts)
-    mean = lambda i: F.aggregate(F.slice("c", F.get("starts", i) + 1, F.get("lasts", i) - F.get("starts", i) + 1), F.lit(0.0), lambda a, v: a + v) / (F.get("lasts", i) - F.get("starts", i) + 1)
-    cost = F.aggregate(F.transform("x", lambda v, i: F.pow(v - mean(i), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)
-    best = met.groupBy(*key).agg(F.min_by(F.struct("starts", "lasts", "x", "c"), F.struct(cost, F.reverse("starts"))).alias("b"))
+    own = df.select(*key, F.col(cells).cast("array<double>").alias("x"), F.col(centers).cast("array<double>").alias("c")).where((F.size("x") > 0) & (F.size("x") <= F.size("c")))
+    # the aggregate keeps the filter below from evaluating the search again
+    best = own.groupBy(*key).agg(F.min(F.struct(_starts(F.col("x"), F.col("c")).alias("starts"), "x", "c")).alias("b"))
     n = F.size("b.c")
+    lasts = F.transform("b.starts", lambda s, i: F.when(i + 1 < F.size("b.starts"), F.get("b.starts", i + 1) - 1).otherwise(n - 1))
+    best = best.withColumn("lasts", lasts)
     spacing = F.when(n > 1, (F.element_at("b.c", -1) - F.element_at("b.c", 1)) / (n - 1)).otherwise(F.lit(LONE_SPACING))
-    near = F.forall(F.transform("b.x", lambda v, i: (v >= F.get("b.c", F.get("b.starts", i)) - spacing) & (v <= F.get("b.c", F.get("b.lasts", i)) + spacing)), lambda ok: ok)
-    return best.where(near).select(*key, F.col("b.starts").alias("firsts"), F.col("b.lasts").alias("lasts"))
+    near = F.forall(F.transform("b.x", lambda v, i: (v >= F.get("b.c", F.get("b.starts", i)) - spacing) & (v <= F.get("b.c", F.get("lasts", i)) + spacing)), lambda ok: ok)
+    return best.where(near).select(*key, F.col("b.starts").alias("firsts"), "lasts")
