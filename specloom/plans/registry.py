@@ -408,5 +408,10 @@ def grouped_digits(spark, d):
     return _t(spark, d, "part").where(n.between(1000, 999_999)).select("p_partkey", display.group_digits(n.cast("string")).alias("text"))
 
 
+@_query("SELECT p_partkey, format('{:,}', p_partkey * 7919) AS text FROM part")
+def grouped_digits_all(spark, d):
+    return _t(spark, d, "part").select("p_partkey", display.group_digits((F.col("p_partkey") * 7919).cast("string")).alias("text"))
+
+
 QUERIES |= flows.QUERIES
 SQL |= flows.SQL
