@@ -98,3 +98,24 @@ def unique_ids(df: DataFrame, base: str, order: list[Column], name: str = "id")
     """base, base-2, base-3 ... within a batch."""
     r = F.row_number().over(Window.partitionBy(base).orderBy(*order))
     return df.withColumn(name, F.when(r == 1, F.col(base)).otherwise(F.concat_ws("-", base, r.cast("string"))))
+
+
+def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
+    """All rows with pos, their rank by the number value, largest first and nulls last, then by the number key.
+
+    Approximate quantiles deal the rows to ranges (rows without a value by their keys), which are ranked one by one and
+    follow on each other by their counts; equal values share a range.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    none = F.col(value).isNull()
+    q = df.agg(F.percentile_approx(value, at).alias("v"), F.percentile_approx(F.when(none, F.col(key)), at).alias("k")).first()
+    above = lambda bounds, test: F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), test)) if bounds else F.lit(0)
+    part = F.when(none, F.lit(n) + above(q.k, lambda b: b < F.col(key))).otherwise(above(q.v, lambda b: b > F.col(value)))
+    df = df.withColumn("_part_", part)
+    offsets, seen = {}, 0
+    for r in sorted(df.groupBy("_part_").agg(F.count("*").alias("n")).collect()):  # a row for each range
+        offsets[r["_part_"]], seen = seen, seen + r["n"]
+    first = F.get(F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(2 * n)]), F.col("_part_"))
+    w = Window.partitionBy("_part_").orderBy(F.desc_nulls_last(value), key)
+    return df.withColumn("pos", F.row_number().over(w) + first).drop("_part_")

@@ -105,6 +105,14 @@ def sort_missing_last(spark, d):
     return best.withColumn("pos", F.row_number().over(rel.Window.orderBy(F.desc_nulls_last("top"), "c_custkey")))
 
 
+@_query("""WITH t AS (SELECT c_custkey, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
+SELECT c_custkey, top, row_number() OVER (ORDER BY top DESC NULLS LAST, c_custkey) AS pos FROM t""")
+def sort_missing_last_all(spark, d):
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    t = c.select("c_custkey").join(o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top")), "c_custkey", "left")
+    return rel.ranked(t, "top", "c_custkey")
+
+
 @_query("""WITH t AS (SELECT n_name, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS reviewed, count(*) AS specs FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT n_name, reviewed, specs, reviewed * 1000 + specs AS weight, row_number() OVER (ORDER BY reviewed * 1000 + specs DESC, n_name) AS pos FROM t""")
 def featured_rank(spark, d):
