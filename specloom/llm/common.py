@@ -7,19 +7,26 @@ sees UTF-8 bytes without decoding them.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that the vectorised code handles at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker: Spark's own default of 64 MB, held several times over on
+#: either side and in each running task, is most of what an executor has beside its heap.
+BATCH_BYTES = 4 << 20
+#: Keys that may hold more than one in so many rows are fewer than this number, whatever the data.
+HEAVY = 1000
 
 _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -27,9 +34,16 @@ _P_INV = pow(_P, -1, 1 << 64)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; unset, as in tests, one is made."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors run in the driver's own process gets a temporary folder; on any other
+    one a folder of one machine would lose the data, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = os.path.join(tempfile.gettempdir(), f"specloom-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,6 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialize(), and aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of materialize() that no later plan reads."""
     for df in tables:
@@ -84,8 +105,38 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless they are bounded lower: rows vary from none to many MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give what a worker process no longer uses back to the system: workers stay for the executor's next tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of bounded bytes; a worker gives its memory back at the end of a task."""
+    small_batches(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(whole, schema)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1024) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows; fn gives the columns of the output in schema's order."""
+    """map_batches over slices of at most `rows` rows; fn gives the columns of the output in schema's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +145,26 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
                 if out is not None and len(next(iter(out.values()))):
                     yield pa.RecordBatch.from_pydict(out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, deal: Column, total: int, largest: int) -> DataFrame:
+    """rows joined with table, which has one row a key; its column count says how many of all `total` rows hold the key.
+
+    Keys of more than one in HEAVY rows would each bring their rows to one task. There are fewer than HEAVY of them, so
+    they are broadcast to the rows, which they deal over as many numbered parts (by `deal`, a hash of the row) as it
+    takes to stay under that share; the table's row of such a key is copied to each part. largest: the largest count;
+    where no key is heavy, this is a plain join.
+    """
+    most = max(total // HEAVY, 64)
+    if (largest or 0) <= most:
+        return rows.join(table, keys)
+    heavy = table.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts_"))
+    # a key's own row may be null in no column of keys, as an inner join drops those
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_part_", F.coalesce(F.pmod(deal, F.col("_parts_").cast("long")).cast("int"), F.lit(0))).drop("_parts_")
+    parts = F.when(F.col(count) > most, F.sequence(F.lit(0), F.ceil(F.col(count) / most).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    copied = table.withColumn("_part_", F.explode(parts))
+    return dealt.join(copied, [*keys, "_part_"]).drop("_part_")
 
 
 # --- vectorised words -------------------------------------------------------------------------
@@ -109,7 +179,7 @@ _tables: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _tables.get("p")
     if have is None or len(have) < n + 1:
-        size = max(n + 1, SLICE_BYTES + (1 << 16))
+        size = max(1 << 18, 1 << n.bit_length())
         for key, base in (("p", _P), ("i", _P_INV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -143,14 +213,13 @@ def binary_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         a = b
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words [^\\x20\\x09-\\x0D]+ of several texts, and each text's first word (one more entry than texts)."""
+def _words_of_run(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a run of bytes; off: where texts start in it."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     solid = ~_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[off] = True
+    first[n] = True
     starts = np.flatnonzero(solid & (first[:n] | np.concatenate(([True], ~solid[:-1]))))
     ends = np.flatnonzero(solid & (first[1:] | np.concatenate((~solid[1:], [True])))) + 1
     p, inv = _powers(n)
@@ -158,7 +227,29 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     np.cumsum(_LOWER[data] * p[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inv[starts]
     h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(h), np.searchsorted(starts, off)
+    return mix64(h), starts
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words [^\\x20\\x09-\\x0D]+ of several texts, and each text's first word (one more entry than texts).
+
+    A very long text is read in runs of about SLICE_BYTES that end before a space.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    hashes, starts, a = [], [], 0
+    while a < n:
+        b = min(n, a + 2 * SLICE_BYTES)
+        while b < n and not _SPACE[data[b]]:
+            ahead = np.flatnonzero(_SPACE[data[b : b + SLICE_BYTES]])
+            b = b + int(ahead[0]) if len(ahead) else min(n, b + SLICE_BYTES)
+        own = off[np.searchsorted(off, a) : np.searchsorted(off, b, side="right")] - a
+        h, at = _words_of_run(data[a:b], own)
+        hashes.append(h)
+        starts.append(at + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off)
 
 
 _SH = [np.uint64(pow(0xA0761D6478BD642F, k + 1, 1 << 64) | 1) for k in range(64)]

@@ -5,34 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import discard, materialize
+from specloom.llm.common import discard, materialize, observed, spread_join
+
+
+def _smallest(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """(v, m: the smallest u of v, n: rows of v) as a table, the rows of all and of the largest v."""
+    low, seen = observed(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "low", total=F.sum("n"), top=F.max("n"))
+    return low, seen["total"] or 0, seen["top"] or 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """(node, component): component is the smallest node reachable. Nodes without a link are absent.
 
     Each round replaces every node's links by links to the smallest neighbour; the edge set shrinks to
-    stars in O(log^2 n) rounds. Minima are partial aggregates and come back by a join, so a hub's
-    neighbours are never gathered in one place. Self links and repeated links are dropped, null ends too.
+    stars in O(log^2 n) rounds. Minima are partial aggregates and come back by a join that deals a hub's
+    rows over many tasks, so its neighbours are never gathered in one place. Self links and repeated links are
+    dropped, null ends too.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct()
     now = materialize(e, "edges")
     state = None
+    by = F.xxhash64("u")
     for _ in range(max_rounds):
         both = now.select("v", "u").unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        mid = large.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u"))
-        low2 = mid.groupBy("v").agg(F.min("u").alias("m"))
-        small = mid.join(low2, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low2.select("v", F.col("m").alias("u")))
+        low, total, top = _smallest(both)
+        if not total:
+            discard(low)
+            break
+        near = low.select("v", F.least("v", "m").alias("m"), "n")
+        large = spread_join(both, near, ["v"], "n", by, total, top).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        mid = materialize(large.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")), "edges")
+        low2, total, top = _smallest(mid)
+        small = spread_join(mid, low2, ["v"], "n", by, total, top).where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low2.select("v", F.col("m").alias("u")))
         small = small.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).where("v <> u").distinct()
-        then = materialize(small, "edges")
-        discard(now)
+        then, new = observed(small, "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")))
+        discard(now, mid, low, low2)
         now = then
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
-        if state == tuple(new):
+        if state == new:
             break
-        state = tuple(new)
+        state = new
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

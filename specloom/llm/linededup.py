@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import SPACES, arrow_map, fresh_name, has_repeated_ids, materialize, text_bytes
+from specloom.llm.common import SPACES, arrow_map, discard, fresh_name, has_repeated_ids, map_batches, materialize, observed, spread_join, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -40,17 +40,20 @@ def _keys(docs: DataFrame, kind: str, min_chars: int) -> DataFrame:
     return arrow_map(docs, fn, f"h binary, k {kind}")
 
 
-def dropped_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """From docs (k, t): (k, drops: hashes whose lines this document loses), and the table of repeated hashes behind it.
+def dropped_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """From docs (k, t): (k, drops: hashes whose lines this document loses), a written table.
 
-    Counting ships one partial count a task and hash: a line in a third of all rows is pre-aggregated.
+    Counting ships one partial count a task and hash, and a line in a third of all rows meets its count in many
+    tasks: it is pre-aggregated, and dealt on the way back. A document's own lost hashes are its only array.
     """
     kind = docs.schema["k"].dataType.simpleString()
-    keys = _keys(docs, kind, min_chars)
+    keys, n = observed(_keys(docs, kind, min_chars), "keys", total=F.count(F.lit(1)))
     held = keys.distinct() if has_repeated_ids(docs, "k") else keys
-    often = materialize(held.groupBy("h").agg(F.count("*").alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs).select("h", "last"), "lines")
-    lost = keys.join(often.hint("shuffle_hash"), "h").where(~F.col("k").eqNullSafe(F.col("last")))
-    return lost.groupBy("k").agg(F.collect_set("h").alias("drops")), often
+    often, top = observed(held.groupBy("h").agg(F.count("*").alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs), "lines", n=F.max("n"))
+    lost = spread_join(keys, often, ["h"], "n", F.xxhash64("k"), n["total"], top["n"]).where(~F.col("k").eqNullSafe(F.col("last")))
+    drops = materialize(lost.groupBy("k").agg(F.collect_set("h").alias("drops")), "drops")
+    discard(keys, often)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -63,8 +66,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t"))
-    drops, often = dropped_keys(base, min_docs, min_chars)
-    joined = base.withColumnRenamed("k", "k0").join(drops.hint("shuffle_hash"), F.col("k0").eqNullSafe(F.col("k")), "left").select(F.col("k0").alias("k"), "t", "drops")
+    drops = dropped_keys(base, min_docs, min_chars)
+    joined = base.withColumnRenamed("k", "k0").join(drops, F.col("k0").eqNullSafe(F.col("k")), "left").select(F.col("k0").alias("k"), "t", "drops")
 
     def fn(batch: pa.RecordBatch) -> dict:
         n, gone, sha, kept = [], [], [], []
@@ -90,10 +93,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     """docs with the repeated lines taken out of the texts; a null text stays null, other columns stay as they are."""
     names = docs.columns
     base = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t"))
-    drops, _ = dropped_keys(base, min_docs, min_chars)
+    drops = dropped_keys(base, min_docs, min_chars)
     key, lines = fresh_name(docs, "_k_"), fresh_name(docs, "_drops_")
     drops = drops.select(F.col("k").alias(key), F.col("drops").alias(lines))
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(key)), "left").drop(key)
+    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col(key)), "left").drop(key)
 
     def run(batches):
         for batch in batches:
@@ -110,7 +113,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
                     b = b.set_column(col, b.schema.field(col), pa.array(texts, pa.binary()).cast(b.schema.field(col).type))
                 yield b.select(names)
 
-    return joined.mapInArrow(run, docs.schema).select(*names)
+    return map_batches(joined, run, docs.schema).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,14 @@ sets become one class. Bands of registers deal the classes' representatives into
 
 Links: in each bucket everyone is compared with the bucket's smallest id, so a bucket of n ids gives n - 1 pairs.
 Verified links give components. Where a bucket still holds several components, the pairs across them (never
-those within one) are estimated in blocks of bounded size. No pair leaves a block: only the members do that have a
-likely partner, each pair in the first band that it shares. Their full sets meet once more in blocks of bounded
-size, which count all intersections exactly and give the links of a spanning forest, at most one less than members.
-Whatever the buckets hold, a pair that shares a band is therefore linked, already connected, or known not to be a link.
+those within its largest one) are estimated in blocks of bounded size. A member of the largest component goes to one
+block, which meets the blocks of the other members; only those are copied. No pair leaves a block: only the members do
+that have a likely partner, each pair in the first band that it shares. Their full sets meet once more in blocks of
+bounded size, which count all intersections exactly and give the links of a spanning forest, at most one less than
+members. Whatever the buckets hold, a pair that shares a band is therefore linked, already connected, or estimated
+so low that it isn't a link but for the chance that MARGIN leaves.
+
+A bucket, component or hub of very many members meets its counts in as many tasks (spread_join).
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, binary_slices, discard, fresh_name, materialize, mix64, partitions, shingle_sets, text_bytes
+from specloom.llm.common import arrow_map, binary_slices, discard, fresh_name, materialize, mix64, observed, partitions, shingle_sets, spread_join, text_bytes
 from specloom.llm.graph import connected_components
 
 WIDTH = 4
@@ -33,8 +37,9 @@ ROWS = 4
 BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 2
-#: An estimate this far under the threshold rules a pair out: over four standard deviations at 128 registers.
-MARGIN = 0.15
+#: An estimate this far under the threshold rules a pair out: at 128 registers a pair at 0.8 has as few equal ones
+#: (at most 73 of 128) with a chance of 3e-9.
+MARGIN = 0.225
 #: Members of a bucket that meet in one task, and shingles of theirs where full sets meet; bands are numbered by a byte.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
@@ -180,20 +185,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, kind: str, threshold: int) -> D
     return arrow_map(both.select("a", "b", "sa", "sb"), fn, f"a {kind}, b {kind}", 256)
 
 
-def _dealt(rows: DataFrame, blocks, columns: list[str], spark: SparkSession) -> DataFrame:
+def _gathered(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (bucket, i, j, own, columns) of bounded blocks as arrays g."""
+    # few bytes, much work: the number of partitions is fixed, so that they aren't merged
+    return dealt.repartition(partitions(dealt.sparkSession), "bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", *columns)).alias("g"))
+
+
+def _dealt(rows: DataFrame, blocks, columns: list[str]) -> DataFrame:
     """rows (bucket, k, ...) gathered by pairs of blocks (i <= j) of their bucket, as arrays g of (own: the block, columns)."""
     own = F.pmod(F.xxhash64("k"), blocks.cast("long")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
-    # few bytes, much work: the number of partitions is fixed, so that they aren't merged
-    return dealt.repartition(partitions(spark), "bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", *columns)).alias("g"))
+    return _gathered(dealt, columns)
+
+
+def _dealt_apart(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The same for rows (bucket, n_most, n_rest, most, k, ...), but for pairs of two members of the largest component (most).
+
+    The others fill blocks 0 to r - 1, the largest component blocks r to r + m - 1: a block of the former meets all
+    blocks, a block of the latter those of the former alone.
+    """
+    r, m = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_rest", "n_most"))
+    at = F.xxhash64("k")
+    own = F.when(F.col("most"), r + F.pmod(at, m.cast("long")).cast("int")).otherwise(F.pmod(at, F.greatest(r, F.lit(1)).cast("long")).cast("int"))
+    others = F.when(F.col("most"), F.sequence(F.lit(0), r - 1)).otherwise(F.sequence(F.lit(0), r + m - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+    return _gathered(dealt, columns)
 
 
 def _across(mixed: DataFrame, kind: str, least: float, rows: int) -> DataFrame:
-    """(bucket, k): members of a bucket with a likely partner of another component; mixed: (bucket, cnt, k, c, n, regs).
+    """(bucket, k): members of a bucket with a likely partner of another component; mixed: (bucket, n_most, n_rest, most, k, c, n, regs).
 
     A pair counts in the first band that it shares, so in one bucket only.
     """
-    groups = _dealt(mixed, F.ceil(F.col("cnt") / BLOCK).cast("int"), ["k", "c", "n", "regs"], mixed.sparkSession)
+    groups = _dealt_apart(mixed, ["k", "c", "n", "regs"])
 
     def fn(batch: pa.RecordBatch) -> dict:
         buckets, found = [], []
@@ -293,8 +317,8 @@ def _forest_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[int]:
 
 def _met(members: DataFrame, kind: str, threshold: int) -> DataFrame:
     """Links (a, b) of a spanning forest over all links of each bucket; members: (bucket, k, c, n, s)."""
-    sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    groups = _dealt(members.join(sizes, "bucket"), F.col("blocks"), ["k", "c", "s"], members.sparkSession)
+    sizes, seen = observed(members.groupBy("bucket").agg(F.count("*").alias("cnt"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "sizes", total=F.sum("cnt"), top=F.max("cnt"))
+    groups = _dealt(spread_join(members, sizes, ["bucket"], "cnt", F.xxhash64("k"), seen["total"] or 0, seen["top"]), F.col("blocks"), ["k", "c", "s"])
 
     def fn(batch: pa.RecordBatch) -> dict:
         left, right = [], []
@@ -340,14 +364,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     member = materialize(member, "members")
     reps = materialize(some.join(classes.select(F.col("rep").alias("k"), "d1", "d2", "n"), ["k", "d1", "d2", "n"]).dropDuplicates(["k", "d1", "d2", "n"]).select("k", "n", "regs"), "reps")
 
-    band = _bands(reps, kind, bands, rows)
-    bucket = band.groupBy("bucket").agg(F.min("k").alias("a"), F.count("*").alias("cnt")).where("cnt > 1")
-    shared = materialize(band.join(bucket, "bucket").select("bucket", "a", F.col("k").alias("b"), "cnt"), "shared")
+    band, n = observed(_bands(reps, kind, bands, rows), "bands", total=F.count(F.lit(1)))
+    bucket, seen = observed(band.groupBy("bucket").agg(F.min("k").alias("a"), F.count("*").alias("cnt")).where("cnt > 1"), "buckets", total=F.sum("cnt"), top=F.max("cnt"))
+    shared = materialize(spread_join(band, bucket, ["bucket"], "cnt", F.xxhash64("k"), n["total"], seen["top"]).select("bucket", "a", F.col("k").alias("b"), "cnt"), "shared")
+    discard(band, bucket)
     star = shared.where("a <> b").select("a", "b").distinct()
     likely = materialize(_estimated(star, reps, kind, least), "likely")
 
     wanted = shared.select("b").distinct().withColumnRenamed("b", "k")
-    texts = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).join(wanted.hint("shuffle_hash"), "k", "left_semi")
+    texts = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).join(wanted, "k", "left_semi")
 
     def sets_of(batch: pa.RecordBatch) -> dict:
         out = []
@@ -360,15 +385,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     links = materialize(_verified(likely, sets, kind, threshold), "links")
     comp = materialize(connected_components(links), "comp")
 
-    named = shared.select("bucket", "cnt", F.col("b").alias("k")).join(comp.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    several = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    mixed = named.join(several, "bucket").join(reps, "k").select("bucket", "cnt", "k", "c", "n", "regs")
+    named = shared.select("bucket", "cnt", F.col("b").alias("k")).join(comp.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    # of the buckets that hold several components: the largest one, of equal ones that of the largest id
+    parts = named.groupBy("bucket", "c").agg(F.count("*").alias("own"))
+    several = parts.groupBy("bucket").agg(F.max(F.struct("own", "c")).alias("top"), F.sum("own").alias("cnt"), F.count("*").alias("kinds")).where("kinds > 1")
+    several, some = observed(several.select("bucket", "cnt", F.col("top.c").alias("top"), F.col("top.own").alias("n_most"), (F.col("cnt") - F.col("top.own")).alias("n_rest")), "several", top=F.max("cnt"))
+    mixed = spread_join(named.drop("cnt"), several, ["bucket"], "cnt", F.xxhash64("k"), seen["total"] or 0, some["top"])
+    mixed = mixed.withColumn("most", F.col("c") == F.col("top")).join(reps, "k").select("bucket", "n_most", "n_rest", "most", "k", "c", "n", "regs")
     likely2 = materialize(_across(mixed, kind, least, rows), "likely")
     member2 = likely2.join(reps.select("k", "n"), "k").join(comp.select(F.col("node").alias("k"), "component"), "k", "left").join(sets, "k")
-    more = materialize(_met(member2.select("bucket", "k", F.coalesce("component", "k").alias("c"), "n", "s"), kind, threshold), "more")
+    member2 = materialize(member2.select("bucket", "k", F.coalesce("component", "k").alias("c"), "n", "s"), "met")
+    more = materialize(_met(member2, kind, threshold), "more")
     if more.take(1):
         comp = materialize(connected_components(links.unionByName(more)), "comp2")
-    discard(likely, likely2, shared, sets)
+    discard(likely, likely2, shared, several, member2, sets)
 
     named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k", "n", F.coalesce("component", "rep").alias("c"))
     rest = sk.where("NOT (n > 0 AND k IS NOT NULL)").select("k", "n", F.col("k").alias("c"))
@@ -384,7 +414,7 @@ def keep_one_each(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, i
     found = near_duplicates(docs, width, threshold, id_col=id_col, text_col=text_col)
     name = fresh_name(docs, "_gone_")
     gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).agg(F.max("kept").alias("stays")).where("NOT stays").select(name)
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col(name), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

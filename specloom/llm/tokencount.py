@@ -2,8 +2,8 @@
 
 The cache is a table (digest, version, n_tokens) of Parquet files that calls append to. A text's digest is the
 sha256 of its bytes, the version that of the tokenizer's file, so another tokenizer never meets its counts. Of the
-digests without a stored count, the smallest id stands for all its copies: it alone is encoded. No digest, however
-many copies it has, needs its rows in one place; texts move once, dealt by id.
+digests without a stored count, the smallest id stands for all its copies: it alone is encoded. Copies are counted by
+partial aggregates, and a digest of very many copies meets its count in as many tasks; texts move once, dealt by id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, has_repeated_ids, materialize, scratch_dir, text_bytes
+from specloom.llm.common import arrow_map, discard, has_repeated_ids, materialize, observed, scratch_dir, spread_join, text_bytes
 from specloom.llm.packing import tokenizer_path
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -75,11 +75,11 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     stored = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens")
     # two writers may have stored the same digest: one count a digest
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    reps = digests.groupBy("digest").agg(F.min("k").alias("k")).join(stored.select("digest"), "digest", "left_anti")
-    keyed = reps.select(F.col("k").alias("rk"), F.col("digest").alias("want"))
+    copies, seen = observed(digests.groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n")), "copies", total=F.sum("n"), top=F.max("n"))
+    keyed = copies.join(stored.select("digest"), "digest", "left_anti").select(F.col("k").alias("rk"), F.col("digest").alias("want"))
     texts = base.withColumn("digest", F.unhex(F.sha2("t", 256)))
     # rows of one id may hold several texts: the digest says which one is wanted
-    misses = texts.join(keyed.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("rk")) & (F.col("digest") == F.col("want")), "left_semi").select("digest", "t")
+    misses = texts.join(keyed, F.col("k").eqNullSafe(F.col("rk")) & (F.col("digest") == F.col("want")), "left_semi").select("digest", "t")
     if has_repeated_ids(docs, id_col):  # else each digest has one row
         misses = misses.dropDuplicates(["digest"])
 
@@ -89,7 +89,10 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
 
     arrow_map(misses, fn, CACHE_SCHEMA, 64).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return digests.join(counts, "digest").select(F.col("k").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    known = materialize(copies.select("digest", "n").join(counts, "digest"), "known")
+    discard(copies)
+    met = spread_join(digests, known, ["digest"], "n", F.xxhash64("k"), seen["total"] or 0, seen["top"])
+    return met.select(F.col("k").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

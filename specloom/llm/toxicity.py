@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, fold_of, text_bytes
+from specloom.llm.common import arrow_map, fold_of, map_batches, text_bytes
 
 #: The bounded sample that the model is fitted on: documents of each class and bytes of a text.
 MAX_TOXIC = 2000
@@ -342,7 +342,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 top, total, _ = shared.value.tag([x or b"" for x in texts])
                 yield b.filter(pa.array(shared.value.score(top, total) < PREDICT_AT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

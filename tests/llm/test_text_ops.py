@@ -72,6 +72,21 @@ def test_decontaminated_documents_and_spans(spark):
     assert cut[1] == "xx  yy" and cut[2] == "" and cut[3] == "a  here " and cut[6] == TAINTED[5][1] and cut[4] is None
 
 
+@pytest.mark.parametrize("mode,share", [("document", 0.0), ("document", 0.7), ("span", 0.0)])
+def test_decontamination_does_not_depend_on_the_number_of_indexes(spark, mode, share):
+    """Overlapping items in different indexes, and words whose neighbours a first cut would bring together."""
+    a, b = "k l m n o p q r s t", "o p q r s t u v w x"
+    c = "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10"
+    bench = spark.createDataFrame([(1, a), (2, b), (3, c), (4, "one two"), (5, "k l m n o u v w x y")], "item_id long, text string")
+    docs = util.documents(spark, [(1, f"start {a} u v w x end"), (2, "q x1 x2 x3 x4 x5 " + a + " x6 x7 x8 x9 x10 z"), (3, "k l m n o one two u v w x y"), (4, f"{a} u v w x c1 c2 c3"), (5, None), (5, a), (None, "one two one two")])
+    runs = [got(decontam.decontaminate(docs, bench, mode, share, limit=n), *docs.columns) for n in (decontam.BROADCAST_CHARS, 30, 12)]
+    assert runs[0] == runs[1] == runs[2]
+    if mode == "span":
+        assert (1, "start  end") in [x[:2] for x in runs[0]] and (3, "k l m n o  u v w x y") in [x[:2] for x in runs[0]]
+    elif share:
+        assert {x[0] for x in runs[0]} == {2, 3, 5}
+
+
 def test_no_benchmark_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not [r for r in decontam.contamination(util.documents(spark), none).collect() if r.contaminated]
