@@ -9,8 +9,11 @@ cosine CLOSE or more, as rows, so a popular vector is never gathered in one plac
 A list that is full of links may lack some: it is saturated. Lists of components with a saturated vector are enlarged
 to all members of such components, as a link that no list holds has two saturated ends: the members meet block by
 block, but for blocks that lie too far apart for a link. Only their numbers of links and the components that links
-join come out, never the pairs. Recall is audited: a bounded sample of vectors is compared with all vectors, and further forests are
-grown while it is below RECALL.
+join come out, never the pairs. Recall is audited, by link and by vector: a bounded sample of vectors is compared with
+all vectors, and further forests are grown while it is below RECALL. A result under LEAST_RECALL is an error.
+
+A bucket, hub or component of very many members meets its counts in as many tasks (spread_join) and is cut into blocks
+before its vectors come to it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, discard, has_repeated_ids, materialize, partitions
+from specloom.llm.common import arrow_map, discard, has_repeated_ids, materialize, observed, partitions, spread_join
 from specloom.llm.graph import connected_components
 
 THRESHOLD = 0.95
@@ -36,6 +39,7 @@ MISS = 0.002
 ROUNDS = 4
 AUDIT = 256
 RECALL = 0.98
+LEAST_RECALL = 0.9
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -115,15 +119,16 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """rows (keys, k, v) gathered in groups g of about limit rows: larger groups are cut by a hash of the id."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("cnt")).where("cnt > 1")
-    cut = rows.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64("k", *keys), F.ceil(F.col("cnt") / limit).cast("long")).cast("int"))
-    return cut.repartition(partitions(rows.sparkSession), *keys, "blk").groupBy(*keys, "blk").agg(F.collect_list(F.struct("k", "v")).alias("g"))
+def _in_blocks(rows: DataFrame, reps: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Members k of the groups of keys with their vectors of reps, in arrays g of about limit: larger groups are cut by a hash of the id."""
+    sizes, seen = observed(rows.groupBy(*keys).agg(F.count("*").alias("cnt")).where("cnt > 1"), "sizes", total=F.sum("cnt"), top=F.max("cnt"))
+    met = spread_join(rows, sizes, keys, "cnt", F.xxhash64("k"), seen["total"] or 0, seen["top"])
+    cut = met.select(*keys, "k", F.pmod(F.xxhash64("k", *keys), F.ceil(F.col("cnt") / limit).cast("long")).cast("int").alias("blk"))
+    return cut.join(reps, "k").repartition(partitions(rows.sparkSession), *keys, "blk").groupBy(*keys, "blk").agg(F.collect_list(F.struct("k", "v")).alias("g"))
 
 
 def _forest(reps: DataFrame, kind: str, n: int, first: int, trees: int) -> DataFrame:
-    """(tree, code, k, v): buckets by the signs of random projections."""
+    """(tree, code, k): buckets by the signs of random projections."""
     bits = _bits(n)
 
     def fn(batch: pa.RecordBatch) -> dict:
@@ -140,17 +145,16 @@ def _forest(reps: DataFrame, kind: str, n: int, first: int, trees: int) -> DataF
                     c = c * (1 << bits) + ((x @ planes > 0) @ (1 << np.arange(bits)))
                 code[at, t] = c
         rows = pa.array(np.repeat(np.arange(len(raw)), trees))
-        return {"tree": pa.array(np.tile(np.arange(first, first + trees, dtype=np.int32), len(raw))), "code": pa.array(code.ravel()), "k": batch.column("k").take(rows), "v": batch.column("v").take(rows)}
+        return {"tree": pa.array(np.tile(np.arange(first, first + trees, dtype=np.int32), len(raw))), "code": pa.array(code.ravel()), "k": batch.column("k").take(rows)}
 
-    return arrow_map(reps, fn, f"tree int, code long, k {kind}, v binary", 2048)
+    return arrow_map(reps, fn, f"tree int, code long, k {kind}", 2048)
 
 
 def _descend(lists: DataFrame, reps: DataFrame, kind: str, k: int, close: float) -> DataFrame:
     """One round of NN-descent: members of a hub's neighbourhood meet."""
     pairs = lists.select(F.col("id").alias("hub"), F.col("nbr").alias("k")).unionByName(lists.select(F.col("nbr").alias("hub"), F.col("id").alias("k")))
     pairs = pairs.unionByName(lists.select(F.col("id").alias("hub"), F.col("id").alias("k"))).distinct()
-    groups = _in_blocks(pairs.join(reps, "k").select("hub", "k", "v"), ["hub"], BLOCK)
-    return _top(lists.unionByName(_best(groups, kind, k, close)), k)
+    return _top(lists.unionByName(_best(_in_blocks(pairs, reps, ["hub"], BLOCK), kind, k, close)), k)
 
 
 def _near_blocks(blocks: DataFrame, kind: str, threshold: float) -> DataFrame:
@@ -170,8 +174,10 @@ def _near_blocks(blocks: DataFrame, kind: str, threshold: float) -> DataFrame:
 
     centres = materialize(arrow_map(blocks, centre, f"component {kind}, blk int, mid binary, wide double", 64), "centres")
     parts = math.ceil(centres.count() / CENTRES) or 1
-    cells = centres.groupBy(F.pmod(F.xxhash64("component", "blk"), F.lit(parts)).alias("p")).agg(F.collect_list(F.struct("component", "blk", "mid", "wide")).alias("x"))
-    met = cells.crossJoin(cells.select(F.col("p").alias("o"), F.col("x").alias("y"))).where("p <= o").repartition(partitions(blocks.sparkSession), "p", "o")
+    # a cell of centres goes to each pair of cells that it is part of: one centre stands for WIDE_BLOCK vectors
+    cells = centres.groupBy(F.pmod(F.xxhash64("component", "blk"), F.lit(parts)).cast("int").alias("own")).agg(F.collect_list(F.struct("component", "blk", "mid", "wide")).alias("x"))
+    dealt = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("o"), "own", "x")
+    met = dealt.repartition(partitions(blocks.sparkSession), "p", "o").groupBy("p", "o").agg(F.max(F.when(F.col("own") == F.col("p"), F.col("x"))).alias("x"), F.max(F.when(F.col("own") == F.col("o"), F.col("x"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     reach = math.acos(threshold) + 1e-6
 
     def fn(batch: pa.RecordBatch) -> dict | None:
@@ -200,8 +206,8 @@ def _near_blocks(blocks: DataFrame, kind: str, threshold: float) -> DataFrame:
 
 def _enlarged(members: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(k, n): links of each member (component, k, v, m) with all members, each weighed by the class size m; and (a, b): components that links join."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("cnt"))
-    cut = members.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("k"), F.ceil(F.col("cnt") / WIDE_BLOCK).cast("long")).cast("int"))
+    sizes, seen = observed(members.groupBy("component").agg(F.count("*").alias("cnt")), "sizes", total=F.sum("cnt"), top=F.max("cnt"))
+    cut = spread_join(members, sizes, ["component"], "cnt", F.xxhash64("k"), seen["total"] or 0, seen["top"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.ceil(F.col("cnt") / WIDE_BLOCK).cast("long")).cast("int"))
     blocks = materialize(cut.groupBy("component", "blk").agg(F.collect_list(F.struct("k", "v", "m")).alias("g")), "blocks")
     left, right = blocks.toDF("ci", "i", "x"), blocks.toDF("cj", "j", "y")
     met = _near_blocks(blocks, kind, threshold).join(left, ["ci", "i"]).join(right, ["cj", "j"]).repartition(partitions(members.sparkSession), "ci", "i", "cj", "j")
@@ -237,7 +243,11 @@ def _joined(comp: DataFrame, joins: DataFrame) -> DataFrame:
 
 
 def audit(reps: DataFrame, found: DataFrame, threshold: float, n: int, sample: int = AUDIT) -> float:
-    """Recall of found (k, n: links) on a bounded sample of the n reps (k, v, m), compared with all reps by brute force."""
+    """Recall of found (k, n: links) on a bounded sample of the n reps (k, v, m), compared with all reps by brute force.
+
+    The lower one of the share of all the sample's links and of the mean share of a vector's links, so that a large
+    group doesn't hide what small ones lack.
+    """
     # a hash of the id picks about half more than the sample: a top-k of all would send `sample` rows of every partition to the driver
     share = min(1.0, 1.5 * sample / max(n, 1))
     picked = reps.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("k"), "k").limit(sample).collect()
@@ -262,9 +272,11 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, n: int, sample: i
     true = {r.q: r.n for r in arrow_map(reps, fn, "q long, n long", 4096).groupBy("q").agg(F.sum("n").alias("n")).collect()}
     ids = spark.createDataFrame([(i, r.k) for i, r in enumerate(picked)], f"q long, k {reps.schema['k'].dataType.simpleString()}")
     got = {r.q: r.n for r in found.join(F.broadcast(ids), "k").select("q", "n").collect()}  # sample rows at most
-    want = {i: true.get(i, 0) - r.m for i, r in enumerate(picked)}
-    all_links = sum(want.values())
-    return sum(min(got.get(i, 0), w) for i, w in want.items()) / all_links if all_links else 1.0
+    want = {i: w for i, r in enumerate(picked) if (w := true.get(i, 0) - r.m) > 0}
+    if not want:
+        return 1.0
+    have = {i: min(got.get(i, 0), w) for i, w in want.items()}
+    return min(sum(have.values()) / sum(want.values()), sum(have[i] / w for i, w in want.items()) / len(want))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int = ROUNDS) -> DataFrame:
@@ -272,7 +284,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     other lengths or null ids. Rows that share an id are one vector (of equal ids, the valid one of the largest
-    bytes). Copies are counted, not paired. An empty table gives no rows.
+    bytes). Copies are counted, not paired. An empty table gives no rows. Where the audit finds a recall under
+    LEAST_RECALL after the last forest, a RuntimeError names it instead of a result that lacks links.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     base = unit_vectors(vectors, id_col, vec_col)
@@ -289,7 +302,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
 
     lists, grown, trees = None, 0, _trees(n, threshold)
     for _ in range(rounds):
-        new = _top(_best(_in_blocks(_forest(plain, kind, n, grown, trees), ["tree", "code"], BLOCK), kind, k, close), k)
+        new = _top(_best(_in_blocks(materialize(_forest(plain, kind, n, grown, trees), "forest"), plain, ["tree", "code"], BLOCK), kind, k, close), k)
         lists = materialize(new if lists is None else _top(lists.unionByName(new), k), "lists")
         grown += trees
         links_before = -1
@@ -309,8 +322,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         narrow = both.join(comp.join(wide, "component", "left_anti"), "k").join(reps.select(F.col("k").alias("o"), "m"), "o").groupBy("k").agg(F.sum("m").alias("n"))
         found = materialize(counted.unionByName(narrow), "found")
         comp = _joined(comp, joins)
-        if audit(reps, found, threshold, n) >= RECALL:
+        recall = audit(reps, found, threshold, n)
+        if recall >= RECALL:
             break
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"{grown} trees find {recall:.3f} of the sample's links, under {LEAST_RECALL}")
 
     own = found.select(F.col("k").alias("rep"), "n").join(comp.select(F.col("k").alias("rep"), "component"), "rep")
     out = member.join(own, "rep", "left").select("k", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))

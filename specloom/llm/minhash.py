@@ -219,55 +219,67 @@ def _across(mixed: DataFrame, kind: str, least: float, rows: int) -> DataFrame:
     """
     groups = _dealt_apart(mixed, ["k", "c", "n", "regs"])
 
-    def fn(batch: pa.RecordBatch) -> dict:
-        buckets, found = [], []
+    def fn(batch: pa.RecordBatch) -> dict | None:
         ids = batch.schema.field("g").type.value_type.field("k").type
+        waiting = 0
+        held: list[tuple] = []  # pairs of several groups that wait for one estimate: registers, sizes, band, and where to note a hit
+
+        def look():
+            nonlocal waiting
+            ra, rb, na, nb, band = (np.concatenate([x[i] for x in held]) for i in range(5))
+            first = (ra == rb).reshape(len(ra), -1, rows).all(2).argmax(1) == band
+            ok = first.copy()
+            ok[first] = estimate(ra[first], rb[first], na[first], nb[first]) >= least
+            at = 0
+            for _, _, _, _, own, hit, p, q in held:
+                good = ok[at : at + len(own)]
+                hit[p[good]] = True
+                hit[q[good]] = True
+                at += len(own)
+            held.clear()
+            waiting = 0
+
+        def keep(p, q):
+            """Pairs p, q of the group at hand whose registers may reach the estimate; registers are equal a little more often than the sets' similarity."""
+            nonlocal waiting
+            near = _equal(r[q], r[p]) >= (least - 0.02) * r.shape[1]
+            p, q = p[near], q[near]
+            if len(p):
+                held.append((r[p], r[q], n[p], n[q], np.full(len(p), band), hit, p, q))
+                waiting += len(p)
+            if waiting > 20_000:
+                look()
+
+        done = []
         for bucket, i, j, g in zip(batch.column("bucket").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g"), strict=True):
             v = g.values
             r = np.frombuffer(b"".join(v.field("regs").to_pylist()), np.uint16).reshape(len(v), -1)
             own, n = v.field("own").to_numpy(), v.field("n").to_numpy().astype(float)
             c = v.field("c").dictionary_encode().indices.to_numpy()
-            band, bands = bucket & 255, r.shape[1] // rows
-            hit = np.zeros(len(v), bool)
-            ps, qs, held = [], [], 0
-
-            def look(ps=ps, qs=qs, r=r, n=n, hit=hit, band=band, bands=bands):
-                p, q = np.concatenate(ps), np.concatenate(qs)
-                first = (r[p] == r[q]).reshape(len(p), bands, rows).all(2).argmax(1) == band
-                p, q = p[first], q[first]
-                ok = estimate(r[p], r[q], n[p], n[q]) >= least
-                hit[p[ok]] = True
-                hit[q[ok]] = True
-                ps.clear()
-                qs.clear()
-
+            band, hit = bucket & 255, np.zeros(len(v), bool)
+            done.append((bucket, v.field("k"), hit))
+            may = lambda p, q: (c[q] != c[p]) & (np.minimum(n[q], n[p]) >= least * np.maximum(n[q], n[p])) & ((i == j) | (own[q] != own[p]))  # noqa: E731, B023
+            if len(v) <= 64:
+                p, q = np.triu_indices(len(v), 1)
+                ok = may(p, q)
+                if ok.any():
+                    keep(p[ok], q[ok])
+                continue
             for p in range(len(v) - 1):
-                q = np.flatnonzero((c[p + 1 :] != c[p]) & (np.minimum(n[p + 1 :], n[p]) >= least * np.maximum(n[p + 1 :], n[p]))) + p + 1
-                if i != j:
-                    q = q[own[q] != own[p]]
+                q = np.arange(p + 1, len(v))
+                q = q[may(p, q)]
                 if hit[p]:
                     q = q[~hit[q]]  # both are known to have a partner
                 if len(q):
-                    # registers are equal a little more often than the sets' similarity: the cheap test comes first
-                    q = q[_equal(r[q], r[p]) >= (least - 0.02) * r.shape[1]]
-                if len(q):
-                    ps.append(np.full(len(q), p))
-                    qs.append(q)
-                    held += len(q)
-                    if held > 20_000:
-                        look()
-                        held = 0
-            if ps:
-                look()
-            at = np.flatnonzero(hit)
-            if len(at):
-                found.append(v.field("k").take(pa.array(at)))
-                buckets.append(np.full(len(at), bucket))
-        if not found:
+                    keep(np.full(len(q), p), q)
+        if held:
+            look()
+        done = [(bucket, k, at) for bucket, k, hit in done if len(at := np.flatnonzero(hit))]
+        if not done:
             return None
-        return {"bucket": pa.array(np.concatenate(buckets), pa.int64()), "k": pa.concat_arrays(found).cast(ids)}
+        return {"bucket": pa.array(np.repeat([x[0] for x in done], [len(x[2]) for x in done]), pa.int64()), "k": pa.concat_arrays([k.take(pa.array(at)) for _, k, at in done]).cast(ids)}
 
-    return arrow_map(groups, fn, f"bucket long, k {kind}", 16).distinct()
+    return arrow_map(groups, fn, f"bucket long, k {kind}", 1024).distinct()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:

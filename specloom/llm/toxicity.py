@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from specloom.llm.common import arrow_map, fold_of, map_batches, text_bytes
 
-#: The bounded sample that the model is fitted on: documents of each class and bytes of a text.
+#: The bounded sample that the model is fitted on: documents of each class, and bytes of all of them.
 MAX_TOXIC = 2000
 MAX_CLEAN = 6000
-MAX_TRAIN_BYTES = 20_000
+MAX_SAMPLE_BYTES = 24 << 20
 WINDOW = 64
+#: One in so many windows without a used feature is fitted on, with that weight.
+THIN = 8
 MIN_G2 = 18.0
 MIN_PRECISION = 0.9
 PREDICT_AT = 0.7
@@ -86,11 +88,11 @@ def _expand(e: np.ndarray, pad: np.ndarray) -> np.ndarray:
     return e
 
 
-def marginals(e: np.ndarray, size: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(e: np.ndarray, size: np.ndarray, trans: np.ndarray, start: float, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over rows of e (rows, length): log odds of T against O by token, size: tokens of a row.
 
     trans: 2x2 log potentials, start: log odds of T at the first token. Returns P(T) by token, pair marginals
-    summed over the row's steps as (rows, 2, 2), and the rows' log partition functions.
+    summed over the row's steps as (rows, 2, 2) (0 unless asked for), and the rows' log partition functions.
     """
     rows, length = e.shape
     m = np.exp(trans)
@@ -114,9 +116,10 @@ def marginals(e: np.ndarray, size: np.ndarray, trans: np.ndarray, start: float)
         if t:
             b = back.copy()
             b[:, 1] *= em[:, t]
-            joint = f[t - 1][:, :, None] * m[None] * b[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            pairs += np.where(live[:, t, None, None], joint, 0)
+            if with_pairs:
+                joint = f[t - 1][:, :, None] * m[None] * b[:, None, :]
+                joint /= joint.sum((1, 2), keepdims=True)
+                pairs += np.where(live[:, t, None, None], joint, 0)
             new = b @ m.T
             new /= new.sum(1, keepdims=True)
             back = np.where(live[:, t, None], new, back)
@@ -129,10 +132,9 @@ class ChainModel:
     def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray, start: float, head: tuple[float, float, float]):
         self.weights, self.bias, self.trans, self.start, self.head = weights, bias, trans, start, head
         self._memo: dict[bytes, float] = {}
-        n = np.array([WINDOW])
-        p, _, _ = marginals(np.full((1, WINDOW), bias), n, trans, start)
-        self.rest = float(p.max())
-        self.rest_mean = float(p.mean())
+        # of windows without any feature, by their number of tokens: the largest marginal and the sum
+        p, _, _ = marginals(np.full((WINDOW + 1, WINDOW), bias), np.maximum(np.arange(WINDOW + 1), 1), trans, start, False)
+        self.bare_top, self.bare_sum = p.max(1), p.sum(1)
 
     def __reduce__(self):
         return ChainModel, (self.weights, self.bias, self.trans, self.start, self.head)
@@ -165,20 +167,26 @@ class ChainModel:
                 e[at * WINDOW : at * WINDOW + len(r)] = r
                 size[at + n - 1] = len(r) - (n - 1) * WINDOW
         e = e.reshape(-1, WINDOW)
-        # windows without any word of a T feature all have the marginals of the empty window
-        busy = np.flatnonzero((e > self.bias + 0.5).any(1))
-        top = np.where(count > 0, self.rest, 0.0)
-        total = self.rest_mean * count
+        # windows without any feature differ in length only; all others go through the chain
+        busy = (e != self.bias).any(1)
+        owner = np.repeat(np.arange(len(rows)), windows)
+        top, total = np.zeros(len(rows)), np.zeros(len(rows))
+        bare = ~busy
+        np.maximum.at(top, owner[bare], self.bare_top[size[bare]])
+        np.add.at(total, owner[bare], self.bare_sum[size[bare]])
         spans: list[list[int]] = [[] for _ in rows]
-        if len(busy):
-            p, _, _ = marginals(e[busy], size[busy], self.trans, self.start)
+        # a run of windows at a time: a very long text is many
+        for busy in np.array_split(at := np.flatnonzero(busy), -(-len(at) // 8192) or 1):
+            if not len(busy):
+                continue
+            p, _, _ = marginals(e[busy], size[busy], self.trans, self.start, False)
             owner = np.searchsorted(first, busy, side="right") - 1
             np.maximum.at(top, owner, p.max(1))
-            np.add.at(total, owner, p.sum(1) - self.rest_mean * size[busy])
+            np.add.at(total, owner, p.sum(1))
             for r, t in zip(*np.nonzero(p > SPAN_AT), strict=True):
                 d = int(owner[r])
                 spans[d].append(int((busy[r] - first[d]) * WINDOW + t))
-        return top, np.maximum(total, 0), spans
+        return top, total, spans
 
     def score(self, top: np.ndarray, total: np.ndarray) -> np.ndarray:
         a, b, c = self.head
@@ -209,22 +217,24 @@ def fit_chain(docs: list[tuple[bytes, int]], prior: float, steps: int = 60, l2:
         memo[w] = got = ([index[x] for x in f if x in index], any(x in strong for x in f))
         return got
 
-    feats, toks, tags, size, at = [], [], [], [], 0
+    feats, toks, tags, size, weight, at = [], [], [], [], [], 0
     for i in np.flatnonzero(learn):
         r = rows[i]
         for a in range(0, len(r), WINDOW):
             part = r[a : a + WINDOW]
             found = [memo.get(w) or look(w) for w in part]
-            if not any(x[0] for x in found) and (a // WINDOW + int(i)) % 8:
-                continue  # windows without a used feature differ in length only: one in eight stands for them
+            bare = not any(x[0] for x in found)
+            if bare and (a // WINDOW + int(i)) % THIN:
+                continue  # windows without a used feature differ in length only: one in THIN stands for all
             for k, (ids, s) in enumerate(found):
                 feats.extend(ids)
                 toks.extend([at * WINDOW + k] * len(ids))
                 if s and ys[i]:
                     tags.append(at * WINDOW + k)
             size.append(len(part))
+            weight.append(THIN if bare else 1)
             at += 1
-    feats, toks, size = np.array(feats, np.int64), np.array(toks, np.int64), np.array(size)
+    feats, toks, size, weight = np.array(feats, np.int64), np.array(toks, np.int64), np.array(size), np.array(weight, float)
     y = np.zeros(at * WINDOW)
     y[tags] = 1
     y = y.reshape(at, WINDOW)
@@ -233,17 +243,17 @@ def fit_chain(docs: list[tuple[bytes, int]], prior: float, steps: int = 60, l2:
     pair = np.zeros((2, 2))
     for i in range(2):
         for j in range(2):
-            pair[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & live[:, 1:]).sum()
+            pair[i, j] = (((y[:, :-1] == i) & (y[:, 1:] == j) & live[:, 1:]).sum(1) * weight).sum()
     obs = np.concatenate((np.bincount(feats, y.ravel()[toks], len(index)), [y.sum(), y[:, 0].sum()], pair.ravel()))
     theta = np.zeros(len(index) + 6)
     theta[len(index)] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = max(1, live.sum())
+    n = max(1, (live.sum(1) * weight).sum())
     for step in range(1, steps + 1):
         w, bias, start, trans = theta[: len(index)], theta[len(index)], theta[len(index) + 1], theta[len(index) + 2 :].reshape(2, 2)
         e = (np.bincount(toks, w[feats], at * WINDOW) + bias).reshape(at, WINDOW)
         p, pairs, _ = marginals(e, size, trans, start)
-        exp = np.concatenate((np.bincount(feats, p.ravel()[toks], len(index)), [p.sum(), p[:, 0].sum()], pairs.sum(0).ravel()))
+        exp = np.concatenate((np.bincount(feats, p.ravel()[toks], len(index)), [p.sum(1) @ weight, p[:, 0] @ weight], np.tensordot(weight, pairs, 1).ravel()))
         # feature counts differ by orders: each gradient is scaled by Adam
         g = (exp - obs) / n + l2 / n * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -269,8 +279,9 @@ def _head(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ChainModel:
-    """Fit on a bounded sample of the labelled rows of docs: at most MAX_TOXIC and MAX_CLEAN by a hash of the id, texts up to MAX_TRAIN_BYTES.
+    """Fit on a bounded sample of the labelled rows of docs: at most MAX_TOXIC and MAX_CLEAN by a hash of the id.
 
+    Where their texts, whole and of any length, hold more than MAX_SAMPLE_BYTES, the hash picks that share of them.
     train: a condition on the id column `k`. Null ids, labels and texts don't count.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
@@ -283,7 +294,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     order = F.xxhash64("k")
     share = lambda y, most: F.pmod(order, F.lit(1 << 30)) < int(min(1.0, 0.9 * most / n[y]) * (1 << 30))
     picked = known.where((F.col("y") == 1) & share(1, MAX_TOXIC)).limit(MAX_TOXIC).unionByName(known.where((F.col("y") == 0) & share(0, MAX_CLEAN)).limit(MAX_CLEAN))
-    rows = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).where(F.length("t").between(1, MAX_TRAIN_BYTES)).join(F.broadcast(picked), "k")  # MAX_TOXIC + MAX_CLEAN rows at most
+    rows = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).where(F.length("t") > 0).join(F.broadcast(picked), "k")  # MAX_TOXIC + MAX_CLEAN rows at most
+    size = rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    if size > MAX_SAMPLE_BYTES:
+        rows = rows.where(F.pmod(F.xxhash64(order, F.lit("bytes")), F.lit(1 << 30)) < int(MAX_SAMPLE_BYTES / size * (1 << 30)))
     sample = sorted(((r.k, r.y, bytes(r.t)) for r in rows.toLocalIterator()), key=lambda x: (hash_order(x[0]), x[2]))
     return fit_chain([(t, y) for _, y, t in sample], n[1] / (n[0] + n[1]))
 
