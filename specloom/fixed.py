@@ -74,14 +74,27 @@ RULES = (
     Rule("communications", r"^communication(s|\s+protocol)?\b", "text", exclude=r"interface card"),
 )
 
-# Distances of the layout reader, in characters, and of the page locator, in points or line heights.
+# Distances of the layout reader, in characters.
 TABLE_LEFT_SLACK = 12
 CONTINUATION_SLACK = 8
 CONTINUATION_LINES = 3
 LONE_SPACING = 40.0
+
+# The page locator. In points: padding of a box, least height of a line, how far left of its label a row may
+# begin. In line heights: how far a line may be off its row, a wrapped value off its label, a quote's lines above and below
+# the label. In characters: how much of label and number is compared, and the least that says anything.
 BOX_PAD = 1.5
+LEAST_HEIGHT = 6.0
+LEFT_SLACK = 2.0
+ROW_TOLERANCE = 0.6
+WRAP_REACH = 2.6
+QUOTE_ABOVE = 1.2
+QUOTE_BELOW = 3.2
 LABEL_CHARS = 28
 KEY_CHARS = 12
+LABEL_LEAST = 4
+LABEL_PART_LEAST = 6
+QUOTE_PART_LEAST = 2
 
 # Characters of an address that are never percent-encoded, and the file name in a Content-Disposition header.
 URL_KEPT = r"A-Za-z0-9/%:@!$&'()*+,;=._~?-"
@@ -95,6 +108,17 @@ MAX_REDIRECTS = 5
 ROBOTS_BYTES = 1_000_000
 FETCH_TIMEOUT = 30
 ERROR_CHARS = 2000
+ID_CHARS = 80
+
+# Summaries of change entries, as they are stored.
+SUMMARY_NEW_DATASHEET = "New datasheet found: "
+SUMMARY_NOT_FOUND = " was not found in the new datasheet; showing the previous value"
+SUMMARY_REVISED = "Datasheet changed: %s (%d values confirmed, %d updated, %d need checking)"
+SUMMARY_NEW_MODEL = "New model found in a datasheet: "
+SUMMARY_READ = "%d values read from %s"
+
+# The summary of a discovered model, around the maker's name and the document's title.
+MODEL_SUMMARY = ("Listed in ", "”. Added automatically from the datasheet table.")
 
 # Tone and label of a status.
 STATUS_LABELS = {
@@ -120,4 +144,6 @@ PRESET_COLUMNS = {
     "eff": ("efficiency_max_pct", "efficiency_with_mvt_pct"),
 }
 PRESET_GROUPS = {"power": "Power", "grid": "AC side", "eff": "Efficiency"}
+# What a shown efficiency is of: the converter, or it with its transformer.
+EFFICIENCY_OF = (" conv.", " w/ MVT")
 DEFAULT_COLUMNS = ("power", "dc_max_v", "grid", "eff")

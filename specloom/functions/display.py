@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.fixed import STATUS_LABELS
 
-COUNTRIES = {"CN": "China", "DE": "Germany", "ES": "Spain", "FR": "France", "IT": "Italy", "JP": "Japan", "KR": "South Korea", "US": "United States", "GB": "United Kingdom", "IN": "India", "CH": "Switzerland", "DK": "Denmark"}
+_countries: dict[str, str] = {}
+
+
+def country_names() -> dict[str, str]:
+    """English names of all two-letter country codes, from the driver's Java locales."""
+    if not _countries:
+        locale = SparkSession.active()._jvm.java.util.Locale
+        for code in locale.getISOCountries():
+            _countries[code] = locale("", code).getDisplayCountry(locale.ENGLISH)
+    return _countries
 
 
 def _mapped(c: Column, pairs: dict[str, str]) -> Column:
@@ -23,12 +32,12 @@ def status_tone(c: Column) -> Column:
 
 
 def country_name(c: Column) -> Column:
-    return F.coalesce(_mapped(c, COUNTRIES), c)
+    return F.coalesce(_mapped(c, country_names()), c)
 
 
-def countries(*codes: Column) -> Column:
-    """Distinct countries, headquarters first."""
-    return F.array_distinct(F.array_compact(F.array(*codes)))
+def countries(company: str = "company") -> Column:
+    """Distinct countries of a company, headquarters first."""
+    return F.array_distinct(F.array_compact(F.array(f"{company}.hq_country", f"{company}.parent.country")))
 
 
 def country_line(hq: Column, parent: Column) -> Column:
@@ -109,7 +118,8 @@ def error_kind(message: Column) -> Column:
     """Classes of fetch errors; any other message as it is, 160 characters at most."""
     like = lambda rx: F.regexp_like(message, F.lit(f"(?i){rx}"))
     return (
-        F.when(like("no matching pdf links"), F.lit("no matching links"))
+        F.when(like("^no-links|no matching pdf links"), F.lit("no matching links"))
+        .when(like("^no-pdf"), F.lit("not a PDF file"))
         .when(like("http 403"), F.lit("refused"))
         .when(like("robots"), F.lit("blocked by robots.txt"))
         .when(like("could not reach|resolve"), F.lit("unreachable"))

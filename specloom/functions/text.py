@@ -87,14 +87,14 @@ def initials(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts digit runs by value and letters without case: A9 before A10."""
+    """Sorts digit runs by value, whatever their length, and letters without case: A9 before A10."""
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(F.regexp_like(x, F.lit(r"^\d")), F.lpad(x, 10, "0")).otherwise(F.lower(x))), "")
 
+    def by_value(x: Column) -> Column:
+        digits = F.ltrim(x, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
 
-def cells(line: Column) -> Column:
-    """Cells of a laid-out line: what two or more blanks part. Splitting, since a repeated group would recurse over long lines."""
-    return F.filter(F.split(F.trim(line), " {2,}"), lambda x: F.length(x) > 0)
+    return F.array_join(F.transform(parts, lambda x: F.when(F.regexp_like(x, F.lit(r"^\d")), by_value(x)).otherwise(F.lower(x))), "")
 
 
 def search_text(*columns: str) -> Column:

@@ -144,13 +144,13 @@ def parse(kind: Column, c: Column) -> Column:
 
 
 def pick(values: Column, how: Column) -> Column:
-    """The first value, or the first of the largest or smallest numbers; text values give the first."""
+    """The first value, or the first of the largest or smallest numbers; text values give the first, no values null."""
     numbers = F.filter(values, lambda v: v["number"].isNotNull())
 
     def best(larger: bool) -> Column:
-        return F.aggregate(numbers, F.element_at(numbers, 1), lambda a, v: F.when((v["number"] > a["number"]) if larger else (v["number"] < a["number"]), v).otherwise(a))
+        return F.aggregate(numbers, F.get(numbers, F.lit(0)), lambda a, v: F.when((v["number"] > a["number"]) if larger else (v["number"] < a["number"]), v).otherwise(a))
 
-    first = F.element_at(values, 1)
+    first = F.get(values, F.lit(0))
     return F.when((how == "first") | first["number"].isNull(), first).when(how == "max", best(True)).otherwise(best(False))
 
 

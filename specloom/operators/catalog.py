@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specloom.functions import display
+
 PRODUCT_COLUMNS = ["id", "supplier", "model", "summary", "kind", "market", "family"]
 
 
@@ -88,13 +90,13 @@ def rolled_review(counts: DataFrame, fams: DataFrame) -> DataFrame:
 
 def supplier_countries(suppliers: DataFrame) -> DataFrame:
     """(supplier, country): headquarters and parent, each country once."""
-    own = F.array_distinct(F.array_compact(F.array("company.hq_country", "company.parent.country")))
-    return suppliers.select(F.col("id").alias("supplier"), F.explode(own).alias("country"))
+    return suppliers.select(F.col("id").alias("supplier"), F.explode(display.countries()).alias("country"))
 
 
 def country_facet(suppliers: DataFrame) -> DataFrame:
-    """(country, n_suppliers, suppliers): the facet of the catalog."""
-    return supplier_countries(suppliers).groupBy("country").agg(F.count("*").alias("n_suppliers"), F.sort_array(F.collect_set("supplier")).alias("suppliers"))
+    """(country, name, n_suppliers, suppliers): the facet of the catalog, by the countries' names."""
+    own = supplier_countries(suppliers).groupBy("country").agg(F.count("*").alias("n_suppliers"), F.sort_array(F.collect_set("supplier")).alias("suppliers"))
+    return own.select("country", display.country_name(F.col("country")).alias("name"), "n_suppliers", "suppliers").orderBy("name", "country")
 
 
 def field_order(fields: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from specloom.fixed import CONTINUATION_LINES, CONTINUATION_SLACK, FOOTNOTE, LON
 from specloom.functions import text as tx
 from specloom.functions import values as vl
 from specloom.operators.columns import assign_columns
-from specloom.operators.relational import carry_forward
+from specloom.operators.relational import carry_forward, once, preferred_rows
 
 CELLS = "array<struct<start:int,end:int,text:string>>"
 #: What parts lines, besides the form feed that parts pages.
@@ -85,11 +85,6 @@ def lines(pages: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     return out.select("document", "page", "line", "text", "cells", F.col("own").isNotNull().alias("is_header"), "header", F.coalesce(F.max(F.size("own.models")).over(whole) > 1, F.lit(False)).alias("multi"))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once: a generator of one row, into which no later filter or projection is merged."""
-    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
-
-
 def _by_rule(rule_no: Column, value) -> Column:
     """A null-safe CASE over the rules: value(rule) is a literal or a Column, None gives null."""
     out = F.lit(None)
@@ -156,8 +151,8 @@ def read_rows(ls: DataFrame) -> DataFrame:
     # every text that may be a value is parsed once: the option's cells, then the first cells of the lines below
     below = [F.get(f"next{k}.cells", F.lit(0))["text"] for k in range(1, CONTINUATION_LINES + 1)]
     texts = F.concat(F.transform("o.cells", lambda c: c["text"]), F.array(*below))
-    each = _once(each, "parsed", F.transform(texts, lambda t: F.coalesce(vl.parse(F.col("kind"), t), F.array().cast(vl.RESULT))))
-    each = _once(each, "parsed", F.transform("parsed", lambda v: _with_note(v, F.col("label_text"), rule)))
+    each = once(each, "parsed", F.transform(texts, lambda t: F.coalesce(vl.parse(F.col("kind"), t), F.array().cast(vl.RESULT))))
+    each = once(each, "parsed", F.transform("parsed", lambda v: _with_note(v, F.col("label_text"), rule)))
     in_table = F.coalesce((F.size("header.models") > 1) & (first["start"] >= F.col("header.start") - TABLE_LEFT_SLACK), F.lit(False))
     return _table_values(each.where(in_table)).unionByName(_single_values(each.where(~in_table)))
 
@@ -170,7 +165,7 @@ def _table_values(each: DataFrame) -> DataFrame:
     groups = assign_columns(rows.select(*key, F.transform("table", lambda c: (c["start"] + c["end"]) / 2.0).alias("x"), F.col("header.centers").alias("c")), key, "x", "c")
     met = rows.join(groups, key)
     cells = met.select("*", F.posexplode(F.arrays_zip(F.col("table").alias("cell"), F.col("firsts").alias("a"), F.col("lasts").alias("b"))).alias("cell_no", "z"))
-    cells = _once(cells, "v", vl.pick(F.col("z.cell.values"), F.col("how"))).where("v IS NOT NULL")
+    cells = once(cells, "v", vl.pick(F.col("z.cell.values"), F.col("how"))).where("v IS NOT NULL")
     cells = cells.withColumn("column_no", F.explode(F.sequence("z.a", "z.b")))
     model = F.get("header.models", F.col("column_no"))
     evidence = F.concat(F.col("label_text"), F.lit(" — "), model, F.lit(": "), tx.squeeze(F.col("z.cell.text")))
@@ -194,8 +189,8 @@ def _single_values(each: DataFrame) -> DataFrame:
     own = F.struct(F.col("first.text").alias("text"), F.get("parsed", F.lit(0)).alias("values"))
     each = each.withColumn("read", F.array_compact(F.array(own, *extra)))
     found = F.flatten(F.transform("read", lambda x: F.transform(x["values"], lambda v: F.struct(v["text"].alias("text"), v["number"].alias("number"), x["text"].alias("of")))))
-    each = _once(each.withColumn("texts", F.transform("read", lambda x: x["text"])), "found", found).where(F.size("found") > 0)
-    each = _once(each, "best", vl.pick(F.col("found"), F.col("how")))
+    each = once(each.withColumn("texts", F.transform("read", lambda x: x["text"])), "found", found).where(F.size("found") > 0)
+    each = once(each, "best", vl.pick(F.col("found"), F.col("how")))
     head, many = F.get("found", F.lit(0)), F.size("texts") > 1
     is_text = head["number"].isNull()
     joined = F.array_join(F.array_distinct(F.transform("found", lambda v: v["text"])), "; ")
@@ -233,8 +228,10 @@ def candidates(pages: DataFrame, patterns: DataFrame | None = None) -> DataFrame
     first = rows.withColumn("best", F.min("option").over(Window.partitionBy(*_ROW))).where("option = best")
     tied = first.where(~F.col("multi") | F.col("model").isNotNull())
     place = F.struct("page", "line", "label_no", "rule_no", "cell_no", "column_no")
-    key = Window.partitionBy("document", "model", "field")
-    ranked = tied.withColumns({"place": place, "rank": F.row_number().over(key.orderBy(_preferred(F.col("field"), F.col("evidence")).desc(), place)), "seen": F.min(place).over(key)}).where("rank = 1")
+    key = ["document", "model", "field"]
+    placed = tied.withColumn("place", place)
+    placed = placed.withColumn("seen", F.min("place").over(Window.partitionBy(*key)))
+    ranked = preferred_rows(placed, key, _preferred(F.col("field"), F.col("evidence")), F.col("place"))
     ranked = ranked.withColumn("ord", F.row_number().over(Window.partitionBy("document").orderBy("seen", "place")))
     return ranked.select("document", "model", "field", "value", "numeric", "page", "evidence", "anchor", "conditions", "ord")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.fixed import EXTRACTED, EXTRACTOR_VERSION
+from specloom.fixed import EXTRACTED, EXTRACTOR_VERSION, MODEL_SUMMARY, SUMMARY_NEW_MODEL, SUMMARY_READ
 from specloom.functions import text as tx
 from specloom.operators.catalog import is_family
+from specloom.operators.relational import first_rows
 from specloom.schemas import SPECS
 
 
@@ -37,7 +38,7 @@ def resolve(candidates: DataFrame, documents: DataFrame, products: DataFrame, su
         tx.slugify(F.concat_ws(" ", "supplier", "token")).alias("id"),
         "supplier",
         F.col("token").alias("model"),
-        F.concat(F.lit("Listed in "), tx.possessive(F.col("supplier_name")), F.lit(" “"), F.col("first.title"), F.lit("”. Added automatically from the datasheet table.")).alias("summary"),
+        F.concat(F.lit(MODEL_SUMMARY[0]), tx.possessive(F.col("supplier_name")), F.lit(" “"), F.col("first.title"), F.lit(MODEL_SUMMARY[1])).alias("summary"),
         F.when(~is_family(F.col("source_kind")), F.col("source_kind")).alias("kind"),
         tx.market_from_title(F.col("first.title")).alias("market"),
         F.col("source_id").alias("family"),
@@ -55,8 +56,7 @@ def resolve(candidates: DataFrame, documents: DataFrame, products: DataFrame, su
 def new_specs(resolved: DataFrame, specs: DataFrame, current: DataFrame, at: Column) -> DataFrame:
     """Rows for specs: (product, field) pairs that specs lacks, from the first document and candidate that offer them."""
     open_ = resolved.join(specs.select("product", "field").distinct(), ["product", "field"], "left_anti")
-    w = Window.partitionBy("product", "field").orderBy("doc_ord", "ord")
-    first = open_.withColumn("_r", F.row_number().over(w)).where("_r = 1").join(current.select("document", "sha256"), "document")
+    first = first_rows(open_, ["product", "field"], F.col("doc_ord"), F.col("ord")).join(current.select("document", "sha256"), "document")
     to = {
         "id": F.concat_ws(":", "product", "field"),
         "revision": F.col("sha256"),
@@ -91,7 +91,7 @@ def publish_changes(models: DataFrame, added: DataFrame, documents: DataFrame, s
     names = suppliers.select(F.col("id").alias("supplier"), F.col("name").alias("sn"))
     found = models.join(names, "supplier", "left").select(
         F.lit("new-model").alias("type"),
-        F.concat(F.lit("New model found in a datasheet: "), F.coalesce("sn", "supplier"), F.lit(" "), F.col("model")).alias("summary"),
+        F.concat(F.lit(SUMMARY_NEW_MODEL), F.coalesce("sn", "supplier"), F.lit(" "), F.col("model")).alias("summary"),
         F.col("id").alias("product"),
         F.col("found_in").alias("document"),
         F.lit(None).cast("string").alias("revision"),
@@ -99,7 +99,7 @@ def publish_changes(models: DataFrame, added: DataFrame, documents: DataFrame, s
     )
     n = added.groupBy("document").agg(F.count("*").alias("count"), F.any_value("revision").alias("revision"))
     docs = documents.select(F.col("id").alias("document"), "product", "title")
-    read = n.join(docs, "document").select(F.lit("values-extracted").alias("type"), F.format_string("%d values read from %s", "count", "title").alias("summary"), "product", "document", "revision", "count")
+    read = n.join(docs, "document").select(F.lit("values-extracted").alias("type"), F.format_string(SUMMARY_READ, "count", "title").alias("summary"), "product", "document", "revision", "count")
     both = found.unionByName(read)
     none = lambda c: F.lit(None).cast("string").alias(c)
     return both.select(at.cast("string").alias("at"), "type", "summary", "product", "document", none("field"), "revision", none("previous_revision"), none("value"), none("previous_value"), "count")

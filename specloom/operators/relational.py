@@ -11,6 +11,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specloom.fixed import CHANGES_KEPT, MAX_COMPARED
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a generator of one row, into which no later filter or projection is merged."""
+    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
 
 def first_rows(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
     """The first n rows of each key."""
@@ -29,28 +36,9 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[Column], value: Co
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def sequence(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
-    """Revision numbers from 1, the previous value, and whether a row is its key's current one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({"rev_no": F.row_number().over(w), "previous": F.lag(value).over(w), "is_current": F.lead(F.lit(1)).over(w).isNull()})
-
-
-def range_text(df: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Smallest to largest number of each key as text, one number where they are equal."""
-    out = df.groupBy(*keys).agg(F.min(number).alias("low"), F.max(number).alias("high"))
-    show = lambda c: F.format_string("%.2f", F.col(c))
-    return out.withColumn("text", F.when(F.col("low") == F.col("high"), show("low")).otherwise(F.concat(show("low"), F.lit(" - "), show("high"))))
-
-
-def single_or_varies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The one distinct text of each key, else 'Varies'."""
-    out = df.groupBy(*keys).agg(F.min(text).alias("a"), F.max(text).alias("b"))
-    return out.select(*keys, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit("Varies")).alias("text"))
-
-
 def orphans(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key isn't null and has no partner."""
-    return df.where(F.col(key).isNotNull()).join(other.select(F.col(other_key).alias(key)), key, "left_anti")
+    return df.where(F.col(key).isNotNull()).join(other.select(F.col(other_key).alias("_k_")), F.col(key) == F.col("_k_"), "left_anti")
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -61,14 +49,10 @@ def outside_domain(df: DataFrame, column: str, domain: Iterable[str]) -> DataFra
     return df.where(~F.col(column).isin(*domain) | F.col(column).isNull())
 
 
-def problems(kind: str, df: DataFrame, detail: Column) -> DataFrame:
-    return df.select(F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
-
-
 def pivot_compare(df: DataFrame, row: str, column: str, value: Column, columns: list[str]) -> DataFrame:
     """A row for each attribute, a column for each of at most four compared things."""
-    if len(columns) > 4:
-        raise ValueError("at most four can be compared")
+    if not 0 < len(columns) <= MAX_COMPARED:
+        raise ValueError(f"one to {MAX_COMPARED} can be compared")
     return df.where(F.col(column).isin(*columns)).groupBy(row).pivot(column, columns).agg(F.first(value, ignorenulls=True))
 
 
@@ -78,44 +62,62 @@ def differs(*values: Column) -> Column:
     return (F.size(present) > 1) & (F.size(F.array_distinct(present)) > 1)
 
 
-def choose_columns(wanted: list[str] | None, known: list[str], default: list[str], most: int = 8) -> list[str]:
-    """Wanted columns that exist, once each, in the known order, at most eight; the default if none are left."""
-    chosen = [c for c in known if c in set(wanted or [])][:most]
-    return chosen or default
-
-
-def newest(changes: DataFrame, at: str, seq: str, n: int = 2000) -> DataFrame:
+def newest(changes: DataFrame, *order: str, n: int = CHANGES_KEPT) -> DataFrame:
     """The feature of the change log: its newest n rows."""
-    return changes.orderBy(F.desc(at), F.desc(seq)).limit(n)
-
+    return changes.orderBy(*[F.desc(c) for c in order]).limit(n)
 
-def only_new(df: DataFrame, key: str, done: DataFrame, done_key: str) -> DataFrame:
-    """Rows whose key hasn't been processed."""
-    return df.join(done.select(F.col(done_key).alias(key)), key, "left_anti")
 
+def unique_ids(df: DataFrame, base: str, order: str, taken: DataFrame, name: str = "id") -> DataFrame:
+    """df with an id for each row: its base, else base-2, base-3 ..., the first that neither taken (id) nor a row before it has.
 
-def unique_ids(df: DataFrame, base: str, order: list[Column], name: str = "id") -> DataFrame:
-    """base, base-2, base-3 ... within a batch."""
-    r = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn(name, F.when(r == 1, F.col(base)).otherwise(F.concat_ws("-", base, r.cast("string"))))
-
-
-def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
-    """All rows with pos, their rank by the number value, largest first and nulls last, then by the number key.
-
-    Approximate quantiles deal the rows to ranges (rows without a value by their keys), which are ranked one by one and
-    follow on each other by their counts; equal values share a range.
+    Rows come in the order of the column order, which has no value twice. The numbers of a base that are taken and
+    its rows are sorted together, so that no row looks for its number by trying. An id that two bases spell alike
+    (r-2 is one of r, and a base) goes to the earlier row; what stands behind in the other base is numbered again.
+    """
+    left, done = df, None
+    while True:
+        ids = taken.select("id") if done is None else taken.select("id").unionByName(done.select(F.col(name).alias("id")))
+        own = left.select(F.col(base).alias("_b"), F.col(order).alias("_o"))
+        bases = own.select("_b").distinct()
+        tail = r"-([2-9]|[1-9][0-9]+)$"
+        held = ids.select(F.col("id").alias("_b"), F.lit(1).cast("long").alias("n")).unionByName(ids.where(F.regexp_like("id", F.lit(tail))).select(F.regexp_replace("id", tail, "").alias("_b"), F.regexp_extract("id", tail, 1).try_cast("long").alias("n")))
+        held = held.where("n IS NOT NULL").distinct().join(bases, "_b", "left_semi")
+        # the i-th taken number n leaves n - i free ones below it: the j-th free number is j and all n with n - i < j
+        skip = held.select("_b", (F.col("n") - F.row_number().over(Window.partitionBy("_b").orderBy("n"))).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(df.schema[order].dataType).alias("_o"))
+        rows = own.select("_b", (F.row_number().over(Window.partitionBy("_b").orderBy("_o")) - 1).cast("long").alias("at"), F.lit(1).alias("kind"), "_o")
+        w = Window.partitionBy("_b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        number = skip.unionByName(rows).withColumn("n", F.col("at") + 1 + F.sum(1 - F.col("kind")).over(w)).where("kind = 1")
+        named = number.select("_b", "_o", F.when(F.col("n") == 1, F.col("_b")).otherwise(F.concat_ws("-", "_b", F.col("n").cast("string"))).alias(name))
+        lost = named.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy("_o"))).where("_r > 1").groupBy("_b").agg(F.min("_o").alias("_from"))
+        met = left.join(named, (left[base] == F.col("_b")) & (left[order] == F.col("_o"))).drop("_b", "_o")
+        if not lost.take(1):
+            return met if done is None else done.unionByName(met)
+        split = met.join(lost, met[base] == F.col("_b"), "left")
+        ok = F.col("_from").isNull() | (F.col(order) < F.col("_from"))
+        good = split.where(ok).drop("_b", "_from")
+        done = good if done is None else done.unionByName(good)
+        left = split.where(~ok).drop("_b", "_from", name)
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name, the rows' numbers from 1 in an order without ties, and no task that gets all rows.
+
+    A hash picks some keys of the order; their quantiles cut it into ranges, which are ranked one by one and follow
+    on each other by their counts. order: expressions that are never null. df is read several times.
     """
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    at = F.array(*[F.lit(i / n) for i in range(1, n)])
-    none = F.col(value).isNull()
-    q = df.agg(F.percentile_approx(value, at).alias("v"), F.percentile_approx(F.when(none, F.col(key)), at).alias("k")).first()
-    above = lambda bounds, test: F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), test)) if bounds else F.lit(0)
-    part = F.when(none, F.lit(n) + above(q.k, lambda b: b < F.col(key))).otherwise(above(q.v, lambda b: b > F.col(value)))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    df = df.withColumn("_key_", key)
+    total = df.count()
+    some = df.select("_key_").where(F.pmod(F.xxhash64("_key_"), F.lit(max(1, total // (20 * n)))) == 0).collect()  # about 20 keys a range
+    keys = sorted(tuple(r[0]) for r in some)
+    bounds = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+    kinds = [f.dataType for f in df.schema["_key_"].dataType.fields]
+    literal = lambda b: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, kinds, strict=True))])
+    part = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= F.col("_key_"))) if bounds else F.lit(0)
     df = df.withColumn("_part_", part)
     offsets, seen = {}, 0
     for r in sorted(df.groupBy("_part_").agg(F.count("*").alias("n")).collect()):  # a row for each range
         offsets[r["_part_"]], seen = seen, seen + r["n"]
-    first = F.get(F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(2 * n)]), F.col("_part_"))
-    w = Window.partitionBy("_part_").orderBy(F.desc_nulls_last(value), key)
-    return df.withColumn("pos", F.row_number().over(w) + first).drop("_part_")
+    first = F.get(F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(len(bounds) + 1)]), F.col("_part_"))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("_part_").orderBy("_key_")) + first).drop("_part_", "_key_")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.fixed import STATUSES
 from specloom.operators.catalog import all_products, configured_products, revisions
+from specloom.operators.relational import duplicates, orphans, outside_domain
 
 BOX_LOW, BOX_HIGH = -0.05, 1.05
 
@@ -28,7 +29,7 @@ def _bad_country(c: Column) -> Column:
 
 def ids(table: DataFrame, what: str) -> list[DataFrame]:
     missing = table.where(_blank(F.col("id")))
-    twice = table.where(~_blank(F.col("id"))).groupBy("id").count().where("count > 1")
+    twice = duplicates(table.where(~_blank(F.col("id"))), "id")
     return [_rows("id-missing", missing, F.lit(what), F.lit(f"{what} without id")), _rows("id-duplicate", twice, "id", F.lit(f"duplicate {what} id"))]
 
 
@@ -48,7 +49,7 @@ def company(suppliers: DataFrame) -> list[DataFrame]:
 
 def references(child: DataFrame, column: str, parent: DataFrame, key: str, rule: str, subject: str = "id") -> DataFrame:
     """Rows of child whose column names no row of parent; null names nothing and is no problem of this kind."""
-    lost = child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
+    lost = orphans(child, column, parent, key)
     return _rows(rule, lost, subject, F.concat(F.lit("unknown "), F.lit(column), F.lit(" "), F.col(column)))
 
 
@@ -57,11 +58,11 @@ def _bad_box(c: Column) -> Column:
     return c.isNotNull() & ~((F.size(c) == 4) & inside)
 
 
-def problems(t: dict[str, DataFrame], files: DataFrame | None = None) -> DataFrame:
+def problems(t: dict[str, DataFrame], files: DataFrame | None = None, images: bool = True) -> DataFrame:
     """All violations of the tables suppliers, models, fields, documents, specs.
 
     files: (path, sha256) of the archived files; sha256 may be null where it wasn't computed. Without it, files
-    aren't looked at.
+    aren't looked at; images: whether page images are among them.
     """
     suppliers, models, documents, specs = t["suppliers"], t["models"], t["documents"], t["specs"]
     products = all_products(suppliers, models)
@@ -71,10 +72,10 @@ def problems(t: dict[str, DataFrame], files: DataFrame | None = None) -> DataFra
     out.append(references(documents, "supplier", suppliers, "id", "document-supplier"))
     out.append(references(documents, "product", products, "id", "document-product"))
     out.append(_rows("document-revisions", documents.where(F.size(F.coalesce("revisions", F.array())) == 0), "id", F.lit("no revision")))
-    out.append(_rows("id-duplicate", specs.groupBy("id").count().where("count > 1"), "id", F.lit("duplicate value id")))
+    out.append(_rows("id-duplicate", duplicates(specs, "id"), "id", F.lit("duplicate value id")))
     out.append(references(specs, "product", products, "id", "spec-product"))
     out.append(references(specs, "field", t["fields"], "key", "spec-field"))
-    out.append(_rows("spec-status", specs.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))), "id", F.lit("unknown status")))
+    out.append(_rows("spec-status", outside_domain(specs, "status", STATUSES), "id", F.lit("unknown status")))
     keys = revs.select(F.col("document").alias("_d"), F.col("sha256").alias("_s"))
     lost = specs.join(keys, F.col("document").eqNullSafe(F.col("_d")) & F.col("revision").eqNullSafe(F.col("_s")), "left_anti")
     out.append(_rows("spec-revision", lost, "id", F.lit("its document has no such revision")))
@@ -91,6 +92,7 @@ def problems(t: dict[str, DataFrame], files: DataFrame | None = None) -> DataFra
         met = revs.join(f, F.col("file") == F.col("_p"), "left")
         out.append(_rows("file-missing", met.where("_p IS NULL"), "document", F.concat(F.lit("missing file "), F.coalesce("file", F.lit("")))))
         out.append(_rows("file-digest", met.where("_f IS NOT NULL AND _f <> sha256"), "document", F.concat(F.lit("digest differs: "), F.col("file"))))
+    if files is not None and images:
         safe = marked.where(F.startswith(image, F.lit("datasheets/")) & ~F.contains(image, F.lit("..")))
         out.append(_rows("highlight-missing", safe.join(f, image == F.col("_p"), "left_anti"), "id", F.lit("missing image")))
     return reduce(DataFrame.unionByName, out)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.fixed import CONFIRMED, EVIDENCE_NUMBER, EXTRACTED, NEEDS_CHECK, UPDATED
+from specloom.fixed import CONFIRMED, EVIDENCE_NUMBER, EXTRACTED, NEEDS_CHECK, SUMMARY_NOT_FOUND, SUMMARY_REVISED, UPDATED
 from specloom.functions import text as tx
 from specloom.functions.values import decimal_comma_number, plausible_change
 
@@ -166,10 +166,10 @@ def recheck_changes(specs: DataFrame, found: DataFrame, revisions: DataFrame, do
     old = specs.select("id", "product", "field", "document", F.col("value").alias("previous_value"))
     met = found.select("id", "status", "value").join(old, "id").join(rev, "document").join(fd, "field", "left")
     label = F.coalesce("label", "field")
-    check = met.where(F.col("status") == NEEDS_CHECK).select("at", F.lit("needs-check").alias("type"), F.concat(label, F.lit(" was not found in the new datasheet; showing the previous value")).alias("summary"), "product", "document", "field", "revision", "previous_revision", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("previous_value"))
+    check = met.where(F.col("status") == NEEDS_CHECK).select("at", F.lit("needs-check").alias("type"), F.concat(label, F.lit(SUMMARY_NOT_FOUND)).alias("summary"), "product", "document", "field", "revision", "previous_revision", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("previous_value"))
     text = F.trim(F.concat(label, F.lit(": "), F.col("previous_value"), F.lit(" → "), F.col("value"), F.lit(" "), F.coalesce("unit", F.lit(""))))
     changed = met.where(F.col("status") == UPDATED).select("at", F.lit("value-changed").alias("type"), text.alias("summary"), "product", "document", "field", "revision", "previous_revision", "value", "previous_value")
     counts = rev.join(outcome_counts(specs, found), "document", "left").join(documents.select(F.col("id").alias("document"), "product", "title"), "document", "left").na.fill(0, ["confirmed", "updated", "needs_check"])
-    said = F.format_string("Datasheet changed: %s (%d values confirmed, %d updated, %d need checking)", "title", "confirmed", "updated", "needs_check")
+    said = F.format_string(SUMMARY_REVISED, "title", "confirmed", "updated", "needs_check")
     revised = counts.select("at", F.lit("datasheet-revised").alias("type"), said.alias("summary"), "product", "document", F.lit(None).cast("string").alias("field"), "revision", "previous_revision", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("previous_value"))
     return check.unionByName(changed).unionByName(revised).withColumn("count", F.lit(None).cast("long"))

@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.fixed import ERROR_CHARS, EXTRACTOR_VERSION
+from specloom.fixed import ERROR_CHARS, EXTRACTOR_VERSION, ID_CHARS, SUMMARY_NEW_DATASHEET
 from specloom.functions import text, web
 from specloom.operators import catalog as cat
-from specloom.operators import extract, publish, verify
+from specloom.operators import extract, locate, publish, verify
+from specloom.operators import relational as rel
 from specloom.schemas import CHANGES, DOCUMENTS, REVISION
 from specloom.sources.archive import archive_path, is_pdf
 from specloom.sources.tables import cut
 
-NO_LINKS = "No matching PDF links on the page. The site may load its downloads with JavaScript; add a direct PDF link as a source instead."
-NO_PDF = "Expected a PDF but got a web page (possibly a sign-in or download form)."
+NO_LINKS = "no-links: none of the page's links is a wanted file; a script may load them, then name the file itself as a source"
+NO_PDF = "no-pdf: the answer is no PDF file but perhaps a form"
 
 
 @dataclass
@@ -46,7 +47,8 @@ def found_files(suppliers: DataFrame, responses: DataFrame) -> DataFrame:
 
     A source without an answer, or whose page has no wanted link, is a row with an error and no url.
     """
-    s = cat.product_sources(suppliers).withColumnRenamed("url", "source_url").withColumn("key", F.monotonically_increasing_id())
+    s = cat.product_sources(suppliers).withColumnRenamed("url", "source_url")
+    s = s.withColumn("key", F.sha2(F.to_json(F.struct("supplier", "product", "name", "source_url")), 256)).dropDuplicates(["key"])
     r = responses.select(F.col("url").alias("source_url"), "final_url", "status", "body", F.col("error").alias("failed"))
     met = s.join(r, "source_url", "left")
     bad = F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("status").isNull(), F.lit("No answer")).when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
@@ -97,8 +99,7 @@ def revise(documents: DataFrame, files: DataFrame, page_counts: DataFrame, at: C
     page_counts: (sha256, pages).
     """
     at = at.cast("string")
-    w = Window.partitionBy("url").orderBy("source_url", "product")
-    one = files.where("outcome <> 'error'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").join(page_counts, "sha256", "left")
+    one = rel.first_rows(files.where("outcome <> 'error'"), ["url"], F.col("source_url"), F.col("product")).join(page_counts, "sha256", "left")
     header = lambda k: F.element_at("headers", k)
     rev = F.struct(F.col("sha256"), archive_path(F.col("sha256"), F.col("filename")).alias("file"), F.length("body").cast("long").alias("bytes"), F.coalesce("pages", F.lit(0)).cast("long").alias("pages"), at.alias("captured_at"), header("etag").alias("etag"), header("last-modified").alias("last_modified"), F.lit(None).cast("string").alias("extracted"))
     one = one.withColumn("rev", rev.cast(REVISION))
@@ -107,13 +108,9 @@ def revise(documents: DataFrame, files: DataFrame, page_counts: DataFrame, at: C
     to = {"revisions": F.when(F.col("_rev").isNotNull(), F.concat("revisions", F.array("_rev"))).otherwise(F.col("revisions")), "last_checked": F.when(F.col("_d").isNotNull(), at).otherwise(F.col("last_checked"))}
     old = met.select(*[to.get(c, F.col(c)).alias(c) for c in documents.columns])
 
-    fresh = one.where("outcome = 'new'").withColumn("base", text.slugify(F.regexp_replace("filename", r"\.[^.]*$", "")))
-    # ids taken so far of the same base: the next number is behind the largest
-    base = F.regexp_replace(F.col("id"), r"-\d+$", "")
-    taken = documents.select(base.alias("base"), F.coalesce(F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n")).unionByName(documents.select(F.col("id").alias("base"), F.lit(1).alias("n"))).groupBy("base").agg(F.max("n").alias("top"))
-    fresh = fresh.join(taken, "base", "left").withColumn("no", F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("base").orderBy("url")))
-    new_id = F.when(F.col("no") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("no").cast("string")))
-    new = fresh.select(new_id.alias("id"), "supplier", "product", text.title_from_filename(F.col("filename")).alias("title"), "url", "source_url", at.alias("first_seen"), at.alias("last_checked"), F.array("rev").alias("revisions"), F.lit(None).cast("array<string>").alias("models"))
+    fresh = one.where("outcome = 'new'").withColumn("base", F.substring(text.slugify(F.regexp_replace("filename", r"\.[^.]*$", "")), 1, ID_CHARS))
+    fresh = rel.unique_ids(fresh, "base", "url", documents.select("id"), "new_id")
+    new = fresh.select(F.col("new_id").alias("id"), "supplier", "product", text.title_from_filename(F.col("filename")).alias("title"), "url", "source_url", at.alias("first_seen"), at.alias("last_checked"), F.array("rev").alias("revisions"), F.lit(None).cast("array<string>").alias("models"))
     new = new.select(*[F.col(f.name).cast(f.dataType) for f in DOCUMENTS.fields])
     if "ord" in documents.columns:
         new = new.withColumn("ord", F.monotonically_increasing_id() + F.lit(1 << 60))
@@ -123,9 +120,11 @@ def revise(documents: DataFrame, files: DataFrame, page_counts: DataFrame, at: C
     return after, of_pass
 
 
-def run(t: dict[str, DataFrame], found: DataFrame, responses: DataFrame, pages: DataFrame, layout: DataFrame, at: Column, interval_hours: float = 24.0) -> Pass:
+def run(t: dict[str, DataFrame], found: DataFrame, responses: DataFrame, pages: DataFrame, layout: DataFrame, at: Column, interval_hours: float = 24.0, positions: DataFrame | None = None) -> Pass:
     """The catalog after a pass. pages: (sha256, page, variant, text), layout: (sha256, page, text), of the files of the responses.
 
+    positions: lines with their boxes as of locate.refresh(); with them, values are located on their pages.
+
     Revised documents' values are rechecked first; then every document whose current revision this version of the
     extractor hasn't read gives the values that are still missing.
     """
@@ -150,7 +149,7 @@ def run(t: dict[str, DataFrame], found: DataFrame, responses: DataFrame, pages:
     changed = verify.recheck_changes(touched, outcome, revised, documents, t["fields"])
     new_docs = revs.where("n = 1").join(documents.select(F.col("id").alias("document"), "product", "title"), "document")
     none = lambda c: F.lit(None).cast("string").alias(c)
-    new_rows = new_docs.select(at_text.alias("at"), F.lit("new-datasheet").alias("type"), F.concat(F.lit("New datasheet found: "), "title").alias("summary"), "product", "document", none("field"), F.col("sha256").alias("revision"), none("previous_revision"), none("value"), none("previous_value"), F.lit(None).cast("long").alias("count"))
+    new_rows = new_docs.select(at_text.alias("at"), F.lit("new-datasheet").alias("type"), F.concat(F.lit(SUMMARY_NEW_DATASHEET), "title").alias("summary"), "product", "document", none("field"), F.col("sha256").alias("revision"), none("previous_revision"), none("value"), none("previous_value"), F.lit(None).cast("long").alias("count"))
 
     unread = current.where(~F.col("extracted").eqNullSafe(F.lit(EXTRACTOR_VERSION)))
     products = cat.all_products(suppliers, t["models"])
@@ -168,8 +167,11 @@ def run(t: dict[str, DataFrame], found: DataFrame, responses: DataFrame, pages:
     src = found.groupBy("supplier", "product", "name", "source_url").agg(F.max("error").alias("own_error"))
     results = src.join(errors, ["source_url", "product"], "left").join(good, ["source_url", "product"], "left").select("supplier", "product", "name", F.col("source_url").alias("url"), F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("own_error", "file_error").isNull().alias("ok"), F.coalesce("own_error", "file_error").alias("error"))
 
+    values = specs.unionByName(added.select(*specs.columns))
+    if positions is not None:
+        values = cut(locate.refresh(values, positions), "located")
     status = _status(results, revs, outcome, added, models, at, interval_hours)
-    tables = t | {"documents": documents, "specs": specs.unionByName(added.select(*specs.columns)), "models": t["models"].unionByName(models.select(*t["models"].columns)), "changes": t["changes"].unionByName(new_changes.select(*t["changes"].columns)), "status": status}
+    tables = t | {"documents": documents, "specs": values, "models": t["models"].unionByName(models.select(*t["models"].columns)), "changes": t["changes"].unionByName(new_changes.select(*t["changes"].columns)), "status": status}
     return Pass(tables, files, results, new_changes)
 
 

@@ -11,9 +11,11 @@ from urllib.parse import parse_qs, urlencode
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.fixed import CHANGES_KEPT, DEFAULT_COLUMNS, KPI_FIELDS, MAX_COLUMNS_SHOWN, MAX_COMPARED, PRESET_COLUMNS, PRESET_GROUPS
+from specloom.fixed import DEFAULT_COLUMNS, EFFICIENCY_OF, KPI_FIELDS, MAX_COLUMNS_SHOWN, MAX_COMPARED, PRESET_COLUMNS, PRESET_GROUPS
 from specloom.functions import display, text
 from specloom.operators import catalog as cat
+from specloom.operators import relational as rel
+from specloom.sources.tables import cut
 
 Tables = dict[str, DataFrame]
 
@@ -99,9 +101,18 @@ def values_by_model(t: Tables, columns: list[ShownColumn]) -> DataFrame:
     """
     keys = sorted({k for c in columns for k in c.keys})
     s = cat.with_field(t["specs"].where(F.col("field").isin(*keys)), t["fields"])
-    s = s.withColumn("v", F.struct("field", "numeric", display.format_value(F.col("value"), F.col("unit")).alias("text"), "evidence", "unit"))
+    own = F.struct("field", "numeric", display.format_value(F.col("value"), F.col("unit")).alias("text"), "evidence", "unit")
+    s = s.withColumn("v", own)
     per = s.groupBy(F.col("product").alias("id")).agg(*[F.any_value(F.when(F.col("field") == k, F.col("v")), ignoreNulls=True).alias(f"f_{k}") for k in keys])
-    return per.select("id", *[F.coalesce(*[F.col(f"f_{k}") for k in c.keys]).alias(f"c_{c.id}") for c in columns], *[F.coalesce(*[F.col(f"f_{k}") for k in c.sort_keys]).alias(f"s_{c.id}") for c in columns])
+
+    def value(c: ShownColumn) -> Column:
+        first = F.coalesce(*[F.col(f"f_{k}") for k in c.keys])
+        if c.id != "grid":
+            return first
+        hertz = F.col("f_frequency_hz")
+        return F.when(first.isNotNull(), F.struct(*[first[k].alias(k) for k in ("field", "numeric", "text", "evidence", "unit")], hertz["text"].alias("second"), hertz.alias("hertz")))
+
+    return per.select("id", *[value(c).alias(f"c_{c.id}") for c in columns], *[F.coalesce(*[F.col(f"f_{k}") for k in c.sort_keys]).alias(f"s_{c.id}") for c in columns])
 
 
 def models_view(t: Tables) -> DataFrame:
@@ -109,7 +120,7 @@ def models_view(t: Tables) -> DataFrame:
     products = cat.all_products(t["suppliers"], t["models"])
     counts = cat.spec_counts(products, t["specs"])
     fams = cat.families(products, t["specs"])
-    sup = t["suppliers"].select(F.col("id").alias("supplier"), F.col("name").alias("supplier_name"), F.array_distinct(F.array_compact(F.array("company.hq_country", "company.parent.country"))).alias("countries"))
+    sup = t["suppliers"].select(F.col("id").alias("supplier"), F.col("name").alias("supplier_name"), display.countries().alias("countries"))
     rolled = cat.rolled_review(counts, fams).select("id", F.col("review").alias("_r"), F.col("n_check").alias("_c"), "members")
     out = counts.join(fams.select("id", "is_container"), "id").join(sup, "supplier").join(rolled, "id", "left")
     docs = cat.document_products(t["documents"]).groupBy(F.col("product").alias("id")).agg(F.count("*").alias("n_documents"))
@@ -144,11 +155,12 @@ def _filters(spec: QuerySpec) -> tuple[Column, Column]:
 
 
 def catalog(t: Tables, spec: QuerySpec | None = None) -> DataFrame:
-    """The catalog's rows in order: row_no, group_key, id, entry, is_member, model, supplier, subline, pill and the shown columns.
+    """The catalog's rows: row_no (their order), group_key, entry_no, member_no, id, entry, is_member, model, supplier, subline, pill and the shown columns.
 
     Top-level entries are products outside containers; a container brings its matching members. A search or a review
     filter keeps a container only for its members. Groups are suppliers by reviewed and all values, the products
-    without values last; sorting by a column ranks all entries together.
+    without values last; sorting by a column ranks all entries together. Entries are ranked range by range, never all
+    in one task; what the ranking reads several times is written once.
     """
     spec = spec or QuerySpec()
     known = known_columns(t)
@@ -157,7 +169,7 @@ def catalog(t: Tables, spec: QuerySpec | None = None) -> DataFrame:
     place, every = _filters(spec)
     narrowed = bool(spec.q.strip()) or spec.show != "all"
 
-    m = models_view(t).join(values_by_model(t, columns), "id", "left").withColumns({"fits": every, "placed": place})
+    m = cut(models_view(t).join(values_by_model(t, columns), "id", "left").withColumns({"fits": every, "placed": place}), "entries")
     boxes = m.where("is_container").select(F.col("id").alias("family"))
     members = m.where("NOT is_container").join(boxes, "family", "left_semi")
     tops = m.join(boxes, "family", "left_anti")
@@ -171,40 +183,89 @@ def catalog(t: Tables, spec: QuerySpec | None = None) -> DataFrame:
     tops = tops.join(member_sums, "id", "left")
     shown = F.when(F.col("is_container"), (F.col("hits") > 0) | (F.col("placed") if not narrowed else F.lit(False))).otherwise(F.col("fits"))
     tops = tops.where(shown)
-    cell = lambda c: F.when(F.col("is_container"), _range_of_members(c.id)).otherwise(F.col(f"c_{c.id}.text"))
+    cell = lambda c: F.when(F.col("is_container"), _cell_of_members(c.id)).otherwise(shown_cell(c.id, F.col(f"c_{c.id}")))
     number = lambda c: F.when(F.col("is_container"), F.col(f"n_{c.id}")).otherwise(F.col(f"s_{c.id}.numeric"))
     words = lambda c: F.lower(F.when(F.col("is_container"), F.col(f"t_{c.id}")).otherwise(F.col(f"s_{c.id}.text")))
     weight = F.when(F.col("is_container"), F.coalesce("hit_rank", F.lit(0))).otherwise(F.col("n_reviewed") * 1000 + F.col("n_specs"))
 
     def sort_keys(key: Column) -> list[Column]:
-        name = text.natural_key(F.col("model"))
+        """Ascending expressions without nulls, the id last."""
+        name = [text.natural_key(F.coalesce("model", F.lit(""))), F.col("id")]
         if by_column is None:
-            return [name] if spec.sort == "name" else [F.desc("n_reviewed"), F.col("auto").cast("int").asc(), F.desc("n_specs"), name]
+            return name if spec.sort == "name" else [-F.col("n_reviewed"), F.col("auto").cast("int"), -F.col("n_specs"), *name]
         down = (spec.direction or ("desc" if by_column.numeric else "asc")) == "desc"
-        return [key.desc_nulls_last() if down else key.asc_nulls_last(), name]
+        if by_column.numeric:
+            return [key.isNull(), F.coalesce(-key if down else key, F.lit(0.0)), *name]
+        return [key.isNull(), F.coalesce(key, F.lit("")), *name]
 
     main = lambda df: number(by_column) if by_column.numeric else text.natural_key(words(by_column))
     collecting = (F.col("review") == "none") & F.lit(spec.show != "none")
     group = F.lit("_all") if by_column else F.when(collecting, F.lit("_collecting")).otherwise(F.col("supplier"))
     tops = tops.withColumns({"group_key": group, "weight": weight, "sort_key": main(tops) if by_column else F.lit(None).cast("double")})
-    g = Window.partitionBy("group_key")
-    tops = tops.withColumn("group_rank", F.sum("weight").over(g))
-    tops = tops.withColumn("entry_no", F.row_number().over(g.orderBy(*sort_keys(F.col("sort_key")))))
-    own = tops.select("group_key", "group_rank", "entry_no", F.lit(0).alias("member_no"), "id", F.col("id").alias("entry"), F.lit(False).alias("is_member"), "model", "supplier", subline(tops).alias("subline"), pill(F.col("n_check"), F.col("review")).alias("pill"), *[cell(c).alias(c.id) for c in columns])
-    heads = tops.where("is_container").select(F.col("id").alias("_top"), "group_key", "group_rank", "entry_no")
+    downward = bool(by_column) and not by_column.numeric and spec.direction == "desc"
+    ranks = tops.groupBy("group_key").agg(F.sum("weight").alias("group_rank"), F.count("*").alias("group_size"))
+    # groups are suppliers: their place in the order is a table of one small row each
+    ranks = ranks.withColumn("group_no", F.row_number().over(Window.orderBy((F.col("group_key") == "_collecting").asc(), F.desc("group_rank"), "group_key")))
+    before = F.sum("group_size").over(Window.orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = ranks.select("group_key", "group_no", F.coalesce(before, F.lit(0)).alias("before"))
+    tops = cut(tops.join(ranks, "group_key"), "tops")
+    keys = sort_keys(F.col("sort_key"))
+    tops = rel.positions(tops, [F.col("group_no"), *keys], "place")
+    if downward:  # texts have no negative: entries with one are numbered from the other end, those of equal texts by name
+        tops = _reversed(tops, keys)
+    tops = tops.withColumn("entry_no", (F.col("place") - F.col("before")).cast("int"))
+    own = tops.select("group_key", "place", "entry_no", F.lit(0).alias("member_no"), "id", F.col("id").alias("entry"), F.lit(False).alias("is_member"), "model", "supplier", subline(tops).alias("subline"), pill(F.col("n_check"), F.col("review")).alias("pill"), *[cell(c).alias(c.id) for c in columns])
+    heads = tops.where("is_container").select(F.col("id").alias("_top"), "group_key", "place", "entry_no")
     inside = members.where("fits").join(heads, F.col("family") == F.col("_top"))
     inside = inside.withColumn("sort_key", F.when(F.lit(bool(by_column)), (F.col(f"s_{by_column.id}.numeric") if by_column.numeric else text.natural_key(F.lower(F.col(f"s_{by_column.id}.text")))) if by_column else F.lit(None).cast("double")))
-    inside = inside.withColumn("member_no", F.row_number().over(Window.partitionBy("family").orderBy(*sort_keys(F.col("sort_key")))))
-    rows = own.unionByName(inside.select("group_key", "group_rank", "entry_no", "member_no", "id", F.col("family").alias("entry"), F.lit(True).alias("is_member"), "model", "supplier", subline(inside).alias("subline"), pill(F.col("n_check"), F.col("review")).alias("pill"), *[F.col(f"c_{c.id}.text").alias(c.id) for c in columns]))
-    order = [(F.col("group_key") == "_collecting").asc(), F.desc("group_rank"), "group_key", "entry_no", "member_no"]
-    return rows.orderBy(*order).drop("group_rank")
-
-
-def _range_of_members(column: str) -> Column:
-    return F.when(F.size(f"m_{column}") > 0, _range_values(F.transform(f"m_{column}", lambda x: x["v"])))
-
-
-def _range_values(values: Column) -> Column:
+    inner = sort_keys(F.col("sort_key"))
+    inside = inside.withColumn("member_no", F.row_number().over(Window.partitionBy("family").orderBy(*(inner if not downward else [inner[0], F.desc("sort_key"), *inner[2:]]))))
+    rows = own.unionByName(inside.select("group_key", "place", "entry_no", "member_no", "id", F.col("family").alias("entry"), F.lit(True).alias("is_member"), "model", "supplier", subline(inside).alias("subline"), pill(F.col("n_check"), F.col("review")).alias("pill"), *[shown_cell(c.id, F.col(f"c_{c.id}")).alias(c.id) for c in columns]))
+    rows = rel.positions(cut(rows, "rows"), [F.col("place"), F.col("member_no")], "row_no")
+    return rows.select("row_no", *[c for c in rows.columns if c not in ("row_no", "place")]).orderBy("row_no")
+
+
+def _reversed(tops: DataFrame, keys: list[Column]) -> DataFrame:
+    """tops with place for descending texts: largest texts first, those of equal texts by name, entries without one last."""
+    rest = keys[2:]
+    texts = tops.groupBy("group_no", keys[1].alias("_text"), keys[0].alias("_none")).agg(F.min("place").alias("_low"), F.count("*").alias("_same"))
+    sizes = tops.groupBy("group_no").agg(F.count_if(~keys[0]).alias("_texts"), F.min("place").alias("_first"))
+    met = tops.withColumns({"_text": keys[1], "_none": keys[0]}).join(texts, ["group_no", "_text", "_none"]).join(sizes, "group_no")
+    turned = F.col("_first") + F.col("_texts") - (F.col("_low") - F.col("_first")) - F.col("_same") + (F.col("place") - F.col("_low"))
+    return met.withColumn("place", F.when(F.col("_none"), F.col("place")).otherwise(turned)).drop("_text", "_none", "_low", "_same", "_texts", "_first")
+
+
+def shown_cell(column: str, value: Column) -> Column:
+    """The text of a column's value of one model: the grid column has its frequency behind it, power its condition, efficiency what it is of."""
+    text_ = value["text"]
+    if column == "grid":
+        return F.nullif(F.concat_ws(", ", F.when(value["field"] != "frequency_hz", text_), value["second"]), F.lit(""))
+    if column == "power":
+        at = F.replace(display.condition_of(value["evidence"]), F.lit(" "), F.lit(""))
+        return F.concat(text_, F.when(at.isNotNull(), F.concat(F.lit(" @"), at)).otherwise(F.lit("")))
+    if column == "eff":
+        return F.concat(text_, F.when(value["field"] == "efficiency_max_pct", F.lit(EFFICIENCY_OF[0])).otherwise(F.lit(EFFICIENCY_OF[1])))
+    return text_
+
+
+def _cell_of_members(column: str) -> Column:
+    """The same of a container: the range of its members' values of the first field that any of them has."""
+    values = F.transform(f"m_{column}", lambda x: x["v"])
+    if column != "grid":
+        span = range_of(values)
+        if column != "eff":
+            return F.when(F.size(f"m_{column}") > 0, span)
+        of = F.when(F.get(values, F.lit(0))["field"] == "efficiency_max_pct", F.lit(EFFICIENCY_OF[0])).otherwise(F.lit(EFFICIENCY_OF[1]))
+        return F.when(F.size(f"m_{column}") > 0, F.concat(span, of))
+    of = lambda k: F.filter(values, lambda v: v["field"] == k)
+    high, low = of("mv_voltage_kv"), of("ac_voltage_v")
+    main = F.when(F.size(high) > 0, high).otherwise(low)
+    seconds = F.filter(F.transform(values, lambda v: v["hertz"]), lambda v: v.isNotNull())
+    each = [F.when(F.size(x) > 0, range_of(x)) for x in (main, seconds)]
+    return F.when(F.size(values) > 0, F.nullif(F.concat_ws(", ", *each), F.lit("")))
+
+
+def range_of(values: Column) -> Column:
     """Smallest to largest number with the first value's unit, else the one text, else 'Varies'."""
     nums = F.filter(F.transform(values, lambda v: v["numeric"]), lambda n: n.isNotNull())
     show = lambda n: F.regexp_replace(F.format_number(n, 2), r"\.?0+$", "")
@@ -254,11 +315,10 @@ def relatives(t: Tables, product: str) -> DataFrame:
 def compare(t: Tables, products: list[str], differing: bool = False) -> DataFrame:
     """(field, label, group, a text for each of at most four products, differs), in field order."""
     ids = list(dict.fromkeys(products))
-    if not 0 < len(ids) <= MAX_COMPARED:
-        raise ValueError("one to four can be compared")
     s = cat.with_field(t["specs"].where(F.col("product").isin(*ids)), t["fields"])
-    s = s.withColumns({"text": display.format_value(F.col("value"), F.col("unit")), "same": F.coalesce(F.col("numeric").cast("string"), F.col("value"))})
-    table = s.groupBy("field").agg(*[F.any_value(F.when(F.col("product") == p, F.col("text")), ignoreNulls=True).alias(p) for p in ids], ((F.count("*") > 1) & (F.count_distinct("same") > 1)).alias("differs"))
+    cell = F.struct(display.format_value(F.col("value"), F.col("unit")).alias("text"), F.coalesce(F.col("numeric").cast("string"), F.col("value")).alias("same"))
+    wide = rel.pivot_compare(s, "field", "product", cell, ids)
+    table = wide.select("field", *[F.col(f"`{p}`.text").alias(p) for p in ids], rel.differs(*[F.col(f"`{p}`.same") for p in ids]).alias("differs"))
     fields = cat.field_order(t["fields"]).select(F.col("key").alias("field"), "label", "group", "field_ord")
     out = table.join(fields, "field", "left")
     if differing:
@@ -272,6 +332,31 @@ def compare_candidates(t: Tables, chosen: list[str]) -> DataFrame:
     return p.join(t["specs"].select(F.col("product").alias("id")), "id", "left_semi").select("id", "model", "supplier")
 
 
+def candidate_groups(t: Tables, chosen: list[str]) -> DataFrame:
+    """(supplier, name, models): what may still be compared, by supplier; models are (model, id) by their names."""
+    names = t["suppliers"].select(F.col("id").alias("supplier"), "name")
+    each = compare_candidates(t, chosen).join(names, "supplier")
+    listed = F.sort_array(F.collect_list(F.struct(text.natural_key(F.coalesce("model", F.lit(""))).alias("k"), "model", "id")))
+    return each.groupBy("supplier", "name").agg(F.transform(listed, lambda x: F.struct(x["model"], x["id"])).alias("models")).orderBy("name")
+
+
+def older_revisions(t: Tables, document: str) -> DataFrame:
+    """(rev_no, sha256, file, captured_at) of a document's revisions but its current one, newest first."""
+    own = cat.revisions(t["documents"].where(F.col("id") == document))
+    return own.where("NOT is_current").orderBy(F.desc("rev_no")).select("rev_no", "sha256", "file", "captured_at")
+
+
+def revision_count(t: Tables) -> DataFrame:
+    """(n): revisions of all documents."""
+    return t["documents"].agg(F.coalesce(F.sum(F.size(F.coalesce("revisions", F.array()))), F.lit(0)).alias("n"))
+
+
+def revision_of(t: Tables, sha256: str) -> DataFrame:
+    """(document, rev_no, is_current, title, file) of the revision with a digest."""
+    docs = t["documents"].select(F.col("id").alias("document"), "title")
+    return cat.revisions(t["documents"]).where(F.col("sha256") == sha256).join(docs, "document").select("document", "rev_no", "is_current", "title", "file")
+
+
 def library(t: Tables, q: str = "") -> DataFrame:
     """Documents whose title or product holds the text, with their current revision."""
     products = cat.all_products(t["suppliers"], t["models"]).select(F.col("id").alias("product"), "model")
@@ -284,6 +369,10 @@ def waiting_suppliers(t: Tables) -> DataFrame:
     return t["suppliers"].join(t["documents"].select(F.col("supplier").alias("id")), "id", "left_anti").select("id", "name")
 
 
+#: Events of a day come in this order of their kinds.
+EVENT_ORDER = ("needs-check", "value-changed", "datasheet-revised", "new-datasheet", "new-model", "values-extracted", "import")
+
+
 def updates(t: Tables) -> DataFrame:
     """Events of the change log, newest day first: single values for needs-check and value-changed, counts by supplier for the other kinds."""
     docs = t["documents"].select(F.col("id").alias("document"), F.col("supplier").alias("ds"))
@@ -294,13 +383,17 @@ def updates(t: Tables) -> DataFrame:
     none = lambda x: F.lit(None).cast("string").alias(x)
     grouped = c.where(F.col("type").isin("datasheet-revised", "new-datasheet", "new-model", "values-extracted")).groupBy("day", "type", "supplier").agg(F.max("at").alias("at"), F.count("*").alias("n"), F.sum("count").alias("total"))
     grouped = grouped.select("day", "at", "type", "supplier", none("product"), none("field"), none("previous_value"), none("value"), "n", "total")
-    kinds = F.array(*map(F.lit, ("needs-check", "value-changed", "datasheet-revised", "new-datasheet", "new-model", "values-extracted", "import")))
+    kinds = F.array(*map(F.lit, EVENT_ORDER))
     return single.unionByName(grouped).orderBy(F.desc("day"), F.array_position(kinds, F.col("type")), F.desc("at"), "supplier", "product", "field")
 
 
-def kept_changes(changes: DataFrame, n: int = CHANGES_KEPT) -> DataFrame:
-    """The change log's newest n rows. The log's bound is a feature."""
-    return changes.orderBy(F.desc("at")).limit(n)
+def updates_by_day(t: Tables) -> DataFrame:
+    """(day, events): the same grouped by day, newest first; a day's events are in their order."""
+    columns = [c for c in updates(t).columns if c != "day"]
+    kinds = F.array(*map(F.lit, EVENT_ORDER))
+    each = updates(t).withColumn("_o", F.struct(F.array_position(kinds, F.col("type")).alias("a"), (-F.unix_timestamp(F.to_timestamp("at"))).alias("b"), "supplier", "product", "field"))
+    listed = F.sort_array(F.collect_list(F.struct("_o", F.struct(*columns).alias("e"))))
+    return each.groupBy("day").agg(F.transform(listed, lambda x: x["e"]).alias("events")).orderBy(F.desc("day"))
 
 
 def example(specs: DataFrame) -> DataFrame:

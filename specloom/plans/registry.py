@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import display, text, values, web
-from specloom.operators import columns
+from specloom.operators import columns, extract, verify
 from specloom.operators import relational as rel
 from specloom.plans import flows
 
@@ -36,99 +36,18 @@ def catalog_flatten(spark, d):
     return out.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier"), F.coalesce("n_name", F.lit("unknown")).alias("country"), F.coalesce("r_name", F.lit("unknown")).alias("region"))
 
 
-def _facet(spark, d, only: bool):
-    s, n = _t(spark, d, "supplier"), _t(spark, d, "nation")
-    picked = F.array(*[F.lit(x) for x in (3, 7, 11, 19)])
-    own = display.countries(F.col("s_nationkey"), F.col("n_regionkey"))
-    hit = F.arrays_overlap(own, picked)
-    return s.join(n, s.s_nationkey == n.n_nationkey).where(hit if only else ~hit).select("s_suppkey", "s_name", "n_name")
-
-
-@_query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE NOT (s_nationkey IN (3, 7, 11, 19) OR n_regionkey IN (3, 7, 11, 19))")
-def facet_country_hide(spark, d):
-    return _facet(spark, d, False)
-
-
-@_query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey IN (3, 7, 11, 19) OR n_regionkey IN (3, 7, 11, 19)")
-def facet_country_only(spark, d):
-    return _facet(spark, d, True)
-
-
-@_query("""SELECT n_name AS country, count(*) AS n_suppliers, string_agg(s_name, ', ' ORDER BY s_name) AS suppliers
-FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
-def country_facet(spark, d):
-    s, n = _t(spark, d, "supplier"), _t(spark, d, "nation")
-    return s.join(n, s.s_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("country")).agg(F.count("*").alias("n_suppliers"), F.array_join(F.sort_array(F.collect_list("s_name")), ", ").alias("suppliers"))
-
-
 @_query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'a') AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')""")
 def search_tokens(spark, d):
     p = _t(spark, d, "part")
     return p.where(text.has_all_tokens(text.search_text("p_name", "p_brand", "p_type"), "a  Brand#1")).select("p_partkey", "p_name")
 
 
-@_query("""SELECT o_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'returned' WHEN bool_or(l_returnflag = 'A') THEN 'accepted' ELSE 'open' END AS picked,
-min(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS first_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
-def pick_first_key(spark, d):
-    o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem")
-    has = lambda f: F.bool_or(F.col("l_returnflag") == f)
-    return o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderkey").agg(F.when(has("R"), F.lit("returned")).when(has("A"), F.lit("accepted")).otherwise(F.lit("open")).alias("picked"), F.min(F.when(F.col("l_linenumber") == 1, F.col("l_quantity"))).alias("first_quantity"))
-
-
-@_query("""SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high,
-CASE WHEN min(p_retailprice) = max(p_retailprice) THEN printf('%.2f', min(p_retailprice)) ELSE printf('%.2f', min(p_retailprice)) || ' - ' || printf('%.2f', max(p_retailprice)) END AS text FROM part GROUP BY 1""")
-def range_by_family(spark, d):
-    return rel.range_text(_t(spark, d, "part"), ["p_brand"], "p_retailprice")
-
-
-@_query("""SELECT p_brand, CASE WHEN min(p_type) = max(p_type) THEN min(p_type) ELSE 'Varies' END AS text FROM part GROUP BY 1""")
-def single_or_varies(spark, d):
-    return rel.single_or_varies(_t(spark, d, "part"), ["p_brand"], "p_type")
-
-
-@_query("""WITH k AS (SELECT c_custkey, CASE max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) WHEN 2 THEN 'reviewed' WHEN 1 THEN 'auto' ELSE 'none' END AS kind
-FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) SELECT kind, count(*) AS n FROM k GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM k""")
-def facet_counts(spark, d):
-    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
-    rank = F.max(F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0))
-    k = c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(rank.alias("rank")).select(F.when(F.col("rank") == 2, "reviewed").when(F.col("rank") == 1, "auto").otherwise("none").alias("kind"))
-    n = k.groupBy("kind").agg(F.count("*").alias("n"))
-    return n.unionByName(n.agg(F.lit("all").alias("kind"), F.sum("n").alias("n")))
-
-
-@_query("""WITH t AS (SELECT c_custkey, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
-SELECT c_custkey, top, row_number() OVER (ORDER BY top DESC NULLS LAST, c_custkey) AS pos FROM t ORDER BY pos LIMIT 500""")
-def sort_missing_last(spark, d):
-    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
-    t = c.select("c_custkey").join(o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top")), "c_custkey", "left")
-    best = t.orderBy(F.desc_nulls_last("top"), "c_custkey").limit(500)  # a page of the sorted list
-    return best.withColumn("pos", F.row_number().over(rel.Window.orderBy(F.desc_nulls_last("top"), "c_custkey")))
-
-
 @_query("""WITH t AS (SELECT c_custkey, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
 SELECT c_custkey, top, row_number() OVER (ORDER BY top DESC NULLS LAST, c_custkey) AS pos FROM t""")
-def sort_missing_last_all(spark, d):
+def sort_missing_last(spark, d):
     c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
     t = c.select("c_custkey").join(o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top")), "c_custkey", "left")
-    return rel.ranked(t, "top", "c_custkey")
-
-
-@_query("""WITH t AS (SELECT n_name, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS reviewed, count(*) AS specs FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
-SELECT n_name, reviewed, specs, reviewed * 1000 + specs AS weight, row_number() OVER (ORDER BY reviewed * 1000 + specs DESC, n_name) AS pos FROM t""")
-def featured_rank(spark, d):
-    c, o, n = _t(spark, d, "customer"), _t(spark, d, "orders"), _t(spark, d, "nation")
-    t = c.join(o, c.c_custkey == o.o_custkey).groupBy("c_nationkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("reviewed"), F.count("*").alias("specs"))
-    t = t.join(n, t.c_nationkey == n.n_nationkey).select("n_name", "reviewed", "specs", (F.col("reviewed") * 1000 + F.col("specs")).alias("weight"))
-    return t.withColumn("pos", F.row_number().over(rel.Window.orderBy(F.desc("weight"), "n_name")))
-
-
-@_query(r"""WITH k AS (SELECT p_brand, p_size, p_brand || '-' || p_size AS model FROM part GROUP BY ALL)
-SELECT model, array_to_string(list_transform(regexp_extract_all(model, '(\d+|\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 10, '0') ELSE lower(x) END), '') AS key,
-row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(model, '(\d+|\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 10, '0') ELSE lower(x) END), '')) AS pos FROM k""")
-def natural_order(spark, d):
-    m = _t(spark, d, "part").select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("model")).distinct()
-    m = m.withColumn("key", text.natural_key(F.col("model")))
-    return m.withColumn("pos", F.row_number().over(rel.Window.orderBy("key")))
+    return rel.positions(t, [F.col("top").isNull(), F.coalesce(-F.col("top"), F.lit(0.0)), F.col("c_custkey")], "pos")
 
 
 @_query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
@@ -136,42 +55,11 @@ SELECT o_custkey, o_orderkey, pos, greatest(n - 4, 0) AS folded FROM r WHERE pos
 def group_topn(spark, d):
     o = _t(spark, d, "orders")
     top = rel.first_rows(o.withColumn("pos", F.lit(0)), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey"), n=4)
-    w = rel.Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     n = o.groupBy("o_custkey").agg(F.greatest(F.count("*") - 4, F.lit(0)).alias("folded"))
     return top.withColumn("pos", F.row_number().over(w)).join(n, "o_custkey").select("o_custkey", "o_orderkey", "pos", "folded")
 
 
-_BRANDS = ["Brand#11", "Brand#12", "Brand#13", "Brand#21"]
-
-
-def _attributes(spark, d):
-    p = _t(spark, d, "part").where(F.col("p_brand").isin(*_BRANDS)).groupBy("p_brand").agg(F.min("p_size").cast("string").alias("min_size"), F.max("p_size").cast("string").alias("max_size"), F.count("*").cast("string").alias("parts"))
-    return p.unpivot("p_brand", ["min_size", "max_size", "parts"], "field", "value")
-
-
-_ATTR = """WITH a AS (SELECT p_brand, CAST(min(p_size) AS VARCHAR) AS min_size, CAST(max(p_size) AS VARCHAR) AS max_size, CAST(count(*) AS VARCHAR) AS parts FROM part
-WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') GROUP BY 1), u AS (UNPIVOT a ON min_size, max_size, parts INTO NAME field VALUE value),
-v AS (SELECT field, max(value) FILTER (WHERE p_brand = 'Brand#11') AS a, max(value) FILTER (WHERE p_brand = 'Brand#12') AS b, max(value) FILTER (WHERE p_brand = 'Brand#13') AS c, max(value) FILTER (WHERE p_brand = 'Brand#21') AS d FROM u GROUP BY 1) """
-
-
-@_query(_ATTR + "SELECT * FROM v")
-def compare_pivot(spark, d):
-    out = rel.pivot_compare(_attributes(spark, d), "field", "p_brand", F.col("value"), _BRANDS)
-    return out.select("field", *[F.col(f"`{b}`").alias(n) for b, n in zip(_BRANDS, "abcd", strict=True)])
-
-
-@_query(_ATTR + "SELECT field, (SELECT count(DISTINCT x) > 1 FROM (VALUES (a), (b), (c), (d)) t(x)) AS differs FROM v")
-def compare_diff(spark, d):
-    v = compare_pivot(spark, d)
-    return v.select("field", rel.differs(*[F.col(c) for c in "abcd"]).alias("differs"))
-
-
-@_query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
-def changes_feed(spark, d):
-    e = _t(spark, d, "events")
-    return e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-
-
 @_query("SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000")
 def changes_latest(spark, d):
     return rel.newest(_t(spark, d, "events"), "ts", "event_id").select("event_id", "event_type", "user_id")
@@ -182,29 +70,13 @@ def content_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.sha256_hex(F.col("text").cast("binary")).alias("sha256"))
 
 
-@_query("SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1")
-def content_dedupe(spark, d):
-    return _t(spark, d, "documents").groupBy(text.sha256_hex(F.col("text").cast("binary")).alias("sha256")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
-
-
-@_query("""SELECT event_id, user_id, row_number() OVER w AS rev_no, lag(value) OVER w AS previous, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
-def revision_sequence(spark, d):
-    return rel.sequence(_t(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "value").select("event_id", "user_id", "rev_no", "previous", "value")
-
-
-@_query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS revisions FROM events GROUP BY 1""")
-def current_revision(spark, d):
-    e = _t(spark, d, "events")
-    last = F.struct("ts", "event_id")
-    return e.groupBy("user_id").agg(F.max_by("event_id", last).alias("event_id"), F.max_by("event_type", last).alias("event_type"), F.count("*").alias("revisions"))
-
-
 _CHAIN = """WITH c AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS new, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS old FROM orders),
 p AS (SELECT *, CASE WHEN old IS NULL OR new IS NULL THEN false WHEN old = 0 OR new = 0 THEN old = new ELSE (old > 0) = (new > 0) AND new / old BETWEEN 0.5 AND 2 END AS plausible FROM c) """
 
 
 def _chain(spark, d):
-    o = rel.sequence(_t(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = _t(spark, d, "orders").withColumn("previous", F.lag("o_totalprice").over(w))
     return o.withColumn("plausible", values.plausible_change(F.col("previous"), F.col("o_totalprice")))
 
 
@@ -213,19 +85,6 @@ def plausible_change(spark, d):
     return _chain(spark, d).select("o_orderkey", "plausible")
 
 
-@_query(_CHAIN + """SELECT o_orderkey, CASE WHEN old IS NOT NULL AND old = new THEN CASE WHEN o_orderstatus = 'O' THEN 'extracted' ELSE 'confirmed' END WHEN plausible THEN 'updated' ELSE 'needs-check' END AS status FROM p""")
-def status_transition(spark, d):
-    same = F.col("previous") == F.col("o_totalprice")
-    s = F.when(same, F.when(F.col("o_orderstatus") == "O", "extracted").otherwise("confirmed")).when(F.col("plausible"), "updated").otherwise("needs-check")
-    return _chain(spark, d).select("o_orderkey", s.alias("status"))
-
-
-@_query("""SELECT user_id, string_agg(event_type || '@' || event_id, ' ' ORDER BY ts DESC, event_id DESC) AS history FROM events GROUP BY 1""")
-def history_array(spark, d):
-    h = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")), asc=False)
-    return _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(h, lambda x: F.concat(x["event_type"], F.lit("@"), x["event_id"].cast("string"))), " ").alias("history"))
-
-
 @_query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'O')""")
 def fk_orphans(spark, d):
     return rel.orphans(_t(spark, d, "lineitem"), "l_orderkey", _t(spark, d, "orders").where("o_orderstatus = 'O'"), "o_orderkey").select("l_orderkey", "l_linenumber")
@@ -241,24 +100,6 @@ def domain_check(spark, d):
     return rel.outside_domain(_t(spark, d, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"]).select("c_custkey", "c_mktsegment")
 
 
-@_query("""SELECT 'order without customer' AS kind, CAST(o_orderkey AS VARCHAR) AS detail FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
-UNION ALL SELECT 'document labelled twice', CAST(doc_id AS VARCHAR) FROM labels GROUP BY doc_id HAVING count(*) > 1
-UNION ALL SELECT 'status outside the domain', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
-UNION ALL SELECT 'label without document', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
-def validation_report(spark, d):
-    o, c, la, doc = (_t(spark, d, n) for n in ("orders", "customer", "labels", "documents"))
-    parts = [
-        rel.problems("order without customer", rel.orphans(o, "o_custkey", c.where("c_acctbal > 0"), "c_custkey"), F.col("o_orderkey")),
-        rel.problems("document labelled twice", rel.duplicates(la, "doc_id"), F.col("doc_id")),
-        rel.problems("status outside the domain", rel.outside_domain(o, "o_orderstatus", ["O", "F"]), F.col("o_orderkey")),
-        rel.problems("label without document", rel.orphans(la, "doc_id", doc.where("lang = 'en'"), "doc_id"), F.col("doc_id")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @_query("""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item') AS slug FROM part""")
 def slugify(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.slugify(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
@@ -288,19 +129,20 @@ _Q = "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHA
 
 @_query(f"SELECT l_orderkey, l_linenumber, '≤1' || lpad(q, 3, '0') AS first_text, CAST('1' || lpad(q, 3, '0') AS DOUBLE) AS first_number, CAST(q AS DOUBLE) AS second_number, 2 AS n FROM ({_Q})")
 def number_with_unit(spark, d):
-    w = _weights(spark, d).withColumn("v", values.number_with_unit(F.col("t"), "kVA|MVA"))
+    w = rel.once(_weights(spark, d), "v", values.number_with_unit(F.col("t"), "kVA|MVA"))
     return w.select("l_orderkey", "l_linenumber", F.col("v")[0]["text"].alias("first_text"), F.col("v")[0]["number"].alias("first_number"), F.col("v")[1]["number"].alias("second_number"), F.size("v").alias("n"))
 
 
 @_query(f"SELECT l_orderkey, l_linenumber, CAST('1' || lpad(q, 3, '0') AS DOUBLE) AS largest, CAST(q AS DOUBLE) AS smallest FROM ({_Q})")
 def pick_max(spark, d):
-    w = _weights(spark, d).withColumn("v", values.number_with_unit(F.col("t"), "kVA|MVA"))
+    w = rel.once(_weights(spark, d), "v", values.number_with_unit(F.col("t"), "kVA|MVA"))
     return w.select("l_orderkey", "l_linenumber", values.pick(F.col("v"), F.lit("max"))["number"].alias("largest"), values.pick(F.col("v"), F.lit("min"))["number"].alias("smallest"))
 
 
 @_query(f"SELECT l_orderkey, l_linenumber, q || '–' || CAST(CAST(q AS BIGINT) + 10 AS VARCHAR) AS range FROM ({_Q})")
 def range_value(spark, d):
-    return _weights(spark, d).select("l_orderkey", "l_linenumber", values.range_value(F.col("r"), "V|VDC")[0]["text"].alias("range"))
+    w = rel.once(_weights(spark, d), "v", values.range_value(F.col("r"), "V|VDC"))
+    return w.select("l_orderkey", "l_linenumber", F.col("v")[0]["text"].alias("range"))
 
 
 @_query("""SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) AS cleaned FROM lineitem""")
@@ -309,12 +151,6 @@ def clean_number(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", values.clean_number(shown).alias("cleaned"))
 
 
-@_query("""SELECT page_id, count(DISTINCT h) AS n_links, min(h) AS first_link FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1""".replace("\\\\", "\\"))
-def link_extract(spark, d):
-    p = _t(spark, d, "pages").select("page_id", F.explode(F.array_distinct(web.hrefs(F.col("html")))).alias("h"))
-    return p.groupBy("page_id").agg(F.count("*").alias("n_links"), F.min("h").alias("first_link"))
-
-
 @_query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages""")
 def url_host(spark, d):
     return _t(spark, d, "pages").select("page_id", web.url_host(F.col("url")).alias("host"))
@@ -328,97 +164,100 @@ def canonical_url(spark, d):
     return p.select("page_id", web.canonical_url(F.col("u")).alias("url"))
 
 
-@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id, line_no, len(c) AS n_cells, c[1] AS first_cell FROM (SELECT doc_id, line_no, regexp_extract_all(line, '[^ ]+(?: [^ ]+)*') AS c FROM l) WHERE len(c) > 0""")
-def cell_split(spark, d):
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    cells = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), text.cells(F.col("line")).alias("c"))
-    return cells.where(F.size("c") > 0).select("doc_id", "line_no", F.size("c").cast("long").alias("n_cells"), F.col("c")[0].alias("first_cell"))
-
-
-@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
-SELECT doc_id, n AS line_no, lead(line) OVER w AS below, lag(line) OVER w AS above FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n) QUALIFY length(line) < 40""")
-def label_value(spark, d):
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    w = rel.Window.partitionBy("doc_id").orderBy("p")
-    out = lines.withColumns({"below": F.lead("line").over(w), "above": F.lag("line").over(w)}).where(F.length("line") < 40)
-    return out.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "below", "above")
-
-
 @_query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM events""")
 def header_fill(spark, d):
     e = _t(spark, d, "events")
     return rel.carry_forward(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.when(F.col("event_type") == "signup", F.col("event_id")), "header").select("event_id", "header")
 
 
-_RULES = [("license", "(?i)licensed under"), ("mail", r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]+"), ("number", r"[0-9]{4,}"), ("shout", r"[A-Z]{8,}!!")]
-
-
-@_query("""WITH rules(rule, rx) AS (VALUES ('license', '(?i)licensed under'), ('mail', '[a-z0-9.]+@[a-z0-9.]+\\.[a-z]+'), ('number', '[0-9]{4,}'), ('shout', '[A-Z]{8,}!!'))
-SELECT rule, count(*) AS n, min(doc_id) AS first_doc FROM documents JOIN rules ON regexp_matches(text, rx) GROUP BY 1""".replace("\\\\", "\\"))
-def rule_match(spark, d):
-    rules = F.broadcast(spark.createDataFrame(_RULES, "rule string, rx string"))  # the rule table is code: four rows
-    return _t(spark, d, "documents").join(rules, F.expr("regexp_like(text, rx)")).groupBy("rule").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
 @_query("""SELECT o_custkey, coalesce(arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderpriority = '1-URGENT'), arg_min(o_orderkey, (o_orderdate, o_orderkey))) AS o_orderkey FROM orders GROUP BY 1""")
 def dedupe_prefer(spark, d):
     return rel.preferred_rows(_t(spark, d, "orders"), ["o_custkey"], F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
 
 
-@_query()
-def assign_columns(spark, d):
-    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber") * 20 + F.col("l_quantity") / 10)).alias("cells"), (F.max("l_linenumber") + 1).alias("n"))
-    li = li.select("l_orderkey", "cells", F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: x * 20.0).alias("centers"))
-    out = columns.assign_columns(li, ["l_orderkey"], "cells", "centers")
-    return out.select("l_orderkey", F.array_join(F.transform("firsts", lambda x: x.cast("string")), ",").alias("firsts"), F.array_join(F.transform("lasts", lambda x: x.cast("string")), ",").alias("lasts"))
+@_query("""SELECT event_type, CAST(date_diff('second', max(ts), TIMESTAMP '2024-06-01') > 2 * 24 * 3600 AS BOOLEAN) AS stale, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1""")
+def freshness(spark, d):
+    e = _t(spark, d, "events").groupBy("event_type").agg(F.max("ts").cast("timestamp").alias("at"))
+    return e.select("event_type", display.is_stale(F.col("at"), F.lit(24.0), F.lit("2024-06-01").cast("timestamp")).alias("stale"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
-@_query(r"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(regexp_replace(d.text, '\s+', '', 'g')), lower(regexp_replace(b.text, '\s+', '', 'g')))""")
-def evidence_find(spark, d):
-    bare = lambda: F.lower(F.regexp_replace("text", r"\s+", ""))
-    b = _t(spark, d, "benchmark").select("item_id", bare().alias("evidence"))
-    t = _t(spark, d, "documents").select("doc_id", bare().alias("page"))
-    return t.join(F.broadcast(b) if b.count() <= 10_000 else b, F.contains("page", F.col("evidence"))).select("item_id", "doc_id")
+@_query("""SELECT doc_id, CASE WHEN n < 1048576 THEN CAST(round(CAST(n AS DOUBLE) / 1024) AS BIGINT) || ' KB' ELSE printf('%.1f MB', CAST(n AS DOUBLE) / 1048576) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
+def size_units(spark, d):
+    return _t(spark, d, "documents").select("doc_id", display.file_size(F.octet_length("text")).alias("size"))
 
 
-@_query("""SELECT l_orderkey, arg_min(l_linenumber, (abs(l_quantity - 25), l_linenumber)) AS near_line FROM lineitem GROUP BY 1""")
-def near_cell(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct(F.abs(F.col("l_quantity") - 25), "l_linenumber")).alias("near_line"))
+@_query("SELECT p_partkey, format('{:,}', p_partkey * 7919) AS text FROM part")
+def grouped_digits(spark, d):
+    return _t(spark, d, "part").select("p_partkey", display.group_digits((F.col("p_partkey") * 7919).cast("string")).alias("text"))
 
 
-@_query("""SELECT event_type, CAST(date_diff('second', max(ts), TIMESTAMP '2024-06-01') > 2 * 24 * 3600 AS BOOLEAN) AS stale, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1""")
-def freshness(spark, d):
-    e = _t(spark, d, "events").groupBy("event_type").agg(F.max("ts").cast("timestamp").alias("at"))
-    return e.select("event_type", display.is_stale(F.col("at"), F.lit(24.0), F.lit("2024-06-01").cast("timestamp")).alias("stale"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("last"))
+@_query(_CHAIN + """SELECT o_orderkey, CASE WHEN old = new THEN CASE WHEN o_orderstatus = 'O' THEN 'extracted' ELSE 'confirmed' END WHEN plausible THEN 'updated' ELSE 'needs-check' END AS status FROM p""")
+def status_transition(spark, d):
+    c = _chain(spark, d)
+    outcome = F.when(F.col("previous") == F.col("o_totalprice"), "confirmed").when(F.col("plausible"), "updated").otherwise("needs-check")
+    old = F.when(F.col("o_orderstatus") == "O", "extracted").otherwise("reviewed")
+    return c.select("o_orderkey", verify.next_status(old, outcome).alias("status"))
 
 
-@_query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def incremental_gate(spark, d):
-    return rel.only_new(_t(spark, d, "documents"), "doc_id", _t(spark, d, "labels"), "doc_id").select("doc_id", "n_chars")
+_NATURAL = r"array_to_string(list_transform(regexp_extract_all(model, '(\d+|\D+)'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 4, '0') || ltrim(x, '0') ELSE lower(x) END), '')"
 
 
-@_query("""SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS id FROM (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n
-FROM (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part))""")
-def unique_document_ids(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", text.ascii_slug(F.col("p_type")).alias("base"))
-    return rel.unique_ids(p, "base", [F.col("p_partkey")]).select("p_partkey", "id")
+@_query(f"""WITH k AS (SELECT DISTINCT p_brand || '-' || p_size || CASE WHEN p_size % 5 = 0 THEN '/' || (p_size * 12345678901 + 3) WHEN p_size % 5 = 1 THEN '/00' || p_size ELSE '' END AS model FROM part)
+SELECT model, {_NATURAL} AS key, row_number() OVER (ORDER BY {_NATURAL}, model) AS pos FROM k""")
+def natural_order(spark, d):
+    """Digit runs of up to 13 digits, leading zeros too."""
+    size = F.col("p_size").cast("long")
+    tail = F.when(size % 5 == 0, F.concat(F.lit("/"), (size * 12345678901 + 3).cast("string"))).when(size % 5 == 1, F.concat(F.lit("/00"), size.cast("string"))).otherwise(F.lit(""))
+    m = _t(spark, d, "part").select(F.concat("p_brand", F.lit("-"), size.cast("string"), tail).alias("model")).distinct()
+    m = m.withColumn("key", text.natural_key(F.col("model")))
+    return rel.positions(m, [F.col("key"), F.col("model")], "pos")
 
 
-@_query("""SELECT doc_id, CASE WHEN n < 1048576 THEN CAST(round(CAST(n AS DOUBLE) / 1024) AS BIGINT) || ' KB' ELSE printf('%.1f MB', CAST(n AS DOUBLE) / 1048576) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
-def size_units(spark, d):
-    return _t(spark, d, "documents").select("doc_id", display.file_size(F.octet_length("text")).alias("size"))
+@_query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS h FROM pages)
+SELECT page_id, count(DISTINCT CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || h ELSE h END) AS n_links,
+  min(CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || h ELSE h END) AS first_link FROM l GROUP BY 1""".replace("\\\\", "\\"))
+def link_extract(spark, d):
+    return web.anchors(_t(spark, d, "pages"), "page_id", "url", "html").groupBy("page_id").agg(F.count_distinct("url").alias("n_links"), F.min("url").alias("first_link"))
 
 
-@_query(r"""SELECT p_partkey, regexp_replace(CAST(p_partkey * 7919 AS VARCHAR), '(\d)(\d{3})(\d{3})?$', '\1,\2') AS text FROM part WHERE p_partkey * 7919 BETWEEN 1000 AND 999999""")
-def grouped_digits(spark, d):
-    n = F.col("p_partkey") * 7919
-    return _t(spark, d, "part").where(n.between(1000, 999_999)).select("p_partkey", display.group_digits(n.cast("string")).alias("text"))
+@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+SELECT doc_id, line_no, len(c) AS n_cells, c[1] AS first_cell, length(line) - length(ltrim(line, ' ')) AS first_at FROM (SELECT doc_id, line_no, replace(line, chr(9), '    ') AS line, regexp_extract_all(replace(line, chr(9), '    '), '[^ ]+(?: [^ ]+)*') AS c FROM l) WHERE len(c) > 0""")
+def cell_split(spark, d):
+    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    cells = rel.once(lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line"), "c", extract.placed_cells(F.col("line")))
+    return cells.where(F.size("c") > 0).select("doc_id", "line_no", F.size("c").cast("long").alias("n_cells"), F.col("c")[0]["text"].alias("first_cell"), F.col("c")[0]["start"].cast("long").alias("first_at"))
+
+
+@_query("""WITH RECURSIVE o AS (SELECT l_orderkey, list(l_linenumber * 20 + l_quantity / 10 ORDER BY l_linenumber * 20 + l_quantity / 10) AS x, max(l_linenumber) + 1 AS n FROM lineitem GROUP BY 1),
+cut(l_orderkey, i, j, cost, starts, back) AS (SELECT l_orderkey, 0, 0, CAST(0 AS DOUBLE), CAST([] AS INTEGER[]), CAST([] AS INTEGER[]) FROM o
+  UNION ALL SELECT c.l_orderkey, c.i + 1, e, c.cost + (o.x[c.i + 1] - (c.j + 1 + e) * 10.0) * (o.x[c.i + 1] - (c.j + 1 + e) * 10.0), list_append(c.starts, c.j), list_prepend(c.j, c.back)
+  FROM cut c JOIN o USING (l_orderkey), LATERAL (SELECT unnest(generate_series(c.j + 1, CASE WHEN c.i + 1 = len(o.x) THEN o.n ELSE o.n - (len(o.x) - c.i - 1) END)) AS e) t WHERE c.i < len(o.x) AND (c.i + 1 < len(o.x) OR e = o.n)),
+best AS (SELECT c.l_orderkey, arg_min(c.starts, (c.cost, c.back)) AS starts, any_value(o.n) AS n, any_value(o.x) AS x FROM cut c JOIN o USING (l_orderkey) WHERE c.i = len(o.x) AND c.j = o.n AND len(o.x) <= o.n GROUP BY 1),
+both_ AS (SELECT *, list_transform(generate_series(1, len(starts)), lambda k: CASE WHEN k < len(starts) THEN starts[k + 1] - 1 ELSE n - 1 END) AS lasts FROM best)
+SELECT l_orderkey, array_to_string(starts, ',') AS firsts, array_to_string(lasts, ',') AS lasts FROM both_
+WHERE list_bool_and(list_transform(generate_series(1, len(starts)), lambda k: x[k] >= (starts[k] + 1) * 20.0 - 20.0 AND x[k] <= (lasts[k] + 1) * 20.0 + 20.0))""")
+def assign_columns(spark, d):
+    """The SQL tries all cuts of the columns."""
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber") * 20 + F.col("l_quantity") / 10)).alias("cells"), (F.max("l_linenumber") + 1).alias("n"))
+    li = li.select("l_orderkey", "cells", F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: x * 20.0).alias("centers"))
+    out = columns.assign_columns(li, ["l_orderkey"], "cells", "centers")
+    return out.select("l_orderkey", F.array_join(F.transform("firsts", lambda x: x.cast("string")), ",").alias("firsts"), F.array_join(F.transform("lasts", lambda x: x.cast("string")), ",").alias("lasts"))
 
 
-@_query("SELECT p_partkey, format('{:,}', p_partkey * 7919) AS text FROM part")
-def grouped_digits_all(spark, d):
-    return _t(spark, d, "part").select("p_partkey", display.group_digits((F.col("p_partkey") * 7919).cast("string")).alias("text"))
+_TAKEN = """WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part),
+held AS (SELECT DISTINCT base || CASE WHEN p_partkey % 7 = 0 THEN '-' || (2 + p_partkey % 5) ELSE '' END AS id, base, CASE WHEN p_partkey % 7 = 0 THEN 2 + p_partkey % 5 ELSE 1 END AS n FROM p WHERE p_partkey % 7 < 2),
+fresh AS (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS j FROM p WHERE p_partkey % 7 >= 2),
+free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS j FROM (SELECT b.base, unnest(generate_series(1, b.m + 7)) AS n FROM (SELECT base, max(j) AS m FROM fresh GROUP BY 1) b) g
+  WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.base = g.base AND h.n = g.n)) """
+
+
+@_query(_TAKEN + """SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS id FROM fresh JOIN free USING (base, j)""")
+def unique_document_ids(spark, d):
+    """Some ids are taken, with holes in their numbers."""
+    p = _t(spark, d, "part").select("p_partkey", text.ascii_slug(F.col("p_type")).alias("base"))
+    k = F.col("p_partkey") % 7
+    taken = p.where(k < 2).select(F.when(k == 0, F.concat_ws("-", "base", (F.col("p_partkey") % 5 + 2).cast("string"))).otherwise(F.col("base")).alias("id")).distinct()
+    return rel.unique_ids(p.where(k >= 2), "base", "p_partkey", taken).select("p_partkey", "id")
 
 
 QUERIES |= flows.QUERIES

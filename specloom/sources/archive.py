@@ -35,8 +35,18 @@ def store(new: DataFrame, archive: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(archive).select("sha256", "path").join(keyed.select("sha256").distinct(), "sha256", "left_semi")
 
 
+def stored(spark: SparkSession, archive: str, digests: bool = False) -> DataFrame:
+    """(path, sha256 or null) of the archive table; a content's digest is computed again where digests are asked for."""
+    if not exists(spark, archive):
+        return spark.createDataFrame([], "path string, sha256 string")
+    have = spark.read.schema(SCHEMA).parquet(archive)
+    return have.select("path", F.sha2("content", 256).alias("sha256") if digests else F.lit(None).cast("string").alias("sha256"))
+
+
 def listing(spark: SparkSession, root: str, digests: bool = False) -> DataFrame:
-    """(path relative to root, sha256 or null) of the files under root/datasheets; contents are read only for digests."""
+    """(path relative to root, sha256 or null) of the files under root/datasheets; contents are read only for digests. No folder has none."""
+    if not exists(spark, f"{root}/datasheets"):
+        return spark.createDataFrame([], "path string, sha256 string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/datasheets")
     at = F.concat(F.lit("datasheets"), F.element_at(F.split("path", "/datasheets"), -1))
     return files.select(at.alias("path"), F.sha2("content", 256).alias("sha256") if digests else F.lit(None).cast("string").alias("sha256"))

@@ -61,6 +61,13 @@ def layout_pages(files: DataFrame) -> DataFrame:
     return split_pages(_converted(files, "-layout").where("text IS NOT NULL"))
 
 
+def markup_pages(files: DataFrame) -> DataFrame:
+    """(document, page, text) of files (document, content): the tool's markup of each page, with the boxes of its lines."""
+    got = _converted(files, "-bbox-layout").where("text IS NOT NULL")
+    each = got.select("document", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)<page .*?</page>"), F.lit(0))).alias("p", "text"))
+    return each.select("document", (F.col("p") + 1).alias("page"), "text")
+
+
 _NUM = r"([\d.]+)"
 
 
