@@ -25,7 +25,7 @@ from specloom.llm.common import arrow_map, fold_of, map_batches, text_bytes
 #: The bounded sample that the model is fitted on: documents of each class, and bytes of all of them.
 MAX_TOXIC = 2000
 MAX_CLEAN = 6000
-MAX_SAMPLE_BYTES = 24 << 20
+MAX_SAMPLE_BYTES = 16 << 20
 WINDOW = 64
 #: One in so many windows without a used feature is fitted on, with that weight.
 THIN = 8
@@ -60,14 +60,18 @@ def _cues(docs: list[tuple[set[bytes], int]]) -> tuple[dict[str, int], set[str]]
         if y:
             own = set()
             for w in words:
-                own.update(memo.setdefault(w, features(w)))
+                own.update(memo.get(w) or memo.setdefault(w, features(w)))
             t.update(own)
     wanted = {f for f, a in t.items() if a >= 3}
+    few: dict[bytes, list[str]] = {}
     for words, y in docs:
         if not y:
             own = set()
             for w in words:
-                own.update(f for f in features(w) if f in wanted)
+                got = few.get(w)
+                if got is None:
+                    few[w] = got = [f for f in features(w) if f in wanted]
+                own.update(got)
             c.update(own)
     used, strong = [], set()
     for f in wanted:
@@ -96,34 +100,38 @@ def marginals(e: np.ndarray, size: np.ndarray, trans: np.ndarray, start: float,
     """
     rows, length = e.shape
     m = np.exp(trans)
-    f = np.empty((length, rows, 2))
-    scale = np.zeros((length, rows))
-    em = np.exp(np.clip(e, -40, 40))
-    live = np.arange(length)[None, :] < size[:, None]
+    em = np.exp(np.clip(e.T, -40, 40))
+    live = np.arange(length)[:, None] < size
+    # a message over two tags is the odds of T alone
+    ahead = np.empty((length, rows))
+    z = np.zeros(rows)
+    o = np.full(rows, math.exp(start))
     for t in range(length):
-        a = np.stack((np.ones(rows), np.full(rows, math.exp(start))), 1) if t == 0 else f[t - 1] @ m
-        a[:, 1] *= em[:, t]
-        s = a.sum(1)
-        f[t] = np.where(live[:, t, None], a / s[:, None], f[t - 1] if t else a / s[:, None])
-        scale[t] = np.where(live[:, t], np.log(s), 0)
-    p = np.zeros((rows, length))
-    pairs = np.zeros((rows, 2, 2))
-    back = np.ones((rows, 2))
+        if t:
+            low = m[0, 0] + m[1, 0] * o
+            o = (m[0, 1] + m[1, 1] * o) / low
+            if with_pairs:
+                z += np.where(live[t], np.log(low), 0)
+        o = o * em[t]
+        ahead[t] = o
+    if with_pairs:
+        z += np.log1p(ahead[size - 1, np.arange(rows)])
+    p = np.empty((length, rows))
+    pairs = np.zeros((4, rows))
+    back = np.ones(rows)
     for t in range(length - 1, -1, -1):
-        q = f[t] * back
-        q /= q.sum(1, keepdims=True)
-        p[:, t] = np.where(live[:, t], q[:, 1], 0)
+        odds = ahead[t] * back
+        p[t] = odds / (1 + odds)
         if t:
-            b = back.copy()
-            b[:, 1] *= em[:, t]
+            v = em[t] * back
             if with_pairs:
-                joint = f[t - 1][:, :, None] * m[None] * b[:, None, :]
-                joint /= joint.sum((1, 2), keepdims=True)
-                pairs += np.where(live[:, t, None, None], joint, 0)
-            new = b @ m.T
-            new /= new.sum(1, keepdims=True)
-            back = np.where(live[:, t, None], new, back)
-    return p, pairs, scale.sum(0)
+                u = ahead[t - 1]
+                joint = np.stack((np.full(rows, m[0, 0]), m[0, 1] * v, m[1, 0] * u, m[1, 1] * u * v))
+                joint *= live[t] / joint.sum(0)
+                pairs += joint
+            back = np.where(live[t], (m[1, 0] + m[1, 1] * v) / (m[0, 0] + m[0, 1] * v), 1.0)
+    p *= live
+    return p.T, pairs.T.reshape(rows, 2, 2), z
 
 
 class ChainModel:
