@@ -46,7 +46,8 @@ def _pieces(turns: DataFrame, part: int, most: int) -> DataFrame:
     each = each.withColumn("n", F.least(F.lit(step).cast("long"), F.col("m") - F.col("i") * step))
     numbers = each.groupBy("c", "part", "turn").agg(F.sum("n").alias("t"))
     each = each.join(numbers.withColumnRenamed("part", "part2").select(F.col("c").alias("c2"), "part2", F.col("turn").alias("turn2"), "t"), F.col("c").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("part2")) & F.col("turn").eqNullSafe(F.col("turn2")))
-    dealt = F.when(F.col("t") > most, F.pmod(F.xxhash64("role", "text", "i"), F.ceil(F.col("t") / step).cast("long"))).otherwise(F.lit(0))
+    pieces = F.ceil(F.col("t") / step).cast("long")
+    dealt = F.when(F.col("t") > most, F.pmod(F.pmod(F.xxhash64("role", "text"), pieces) + F.col("i"), pieces)).otherwise(F.lit(0))
     number = F.when(F.col("turn").isNull(), F.lit(1)).otherwise(F.pmod("turn", F.lit(part)) + 2)
     each = each.withColumn("piece", (number.cast("long") * F.lit(1 << 40)) + dealt.cast("long"))
     return fits.unionByName(each.select("c", "turn", "role", "text", "part", "piece", "n"))
