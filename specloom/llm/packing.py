@@ -14,14 +14,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, discard, materialize, partitions, text_bytes
+from specloom.llm.common import arrow_map, materialize, partitions, text_bytes
 
 CAPACITY = 2048
 END_ID = 1
