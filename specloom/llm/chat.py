@@ -69,11 +69,11 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ).withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / part).cast("long"))
     turns = _pieces(turns, part, most)
     key = [F.coalesce(F.col("c").cast("string"), F.lit("")).alias("_c_"), F.col("c").isNull().alias("_n_")]
-    n_parts, seen = observed(turns.select(*key, "part", "piece").distinct().groupBy("_c_", "_n_").agg(F.count("*").alias("parts")), "parts", total=F.sum("parts"), top=F.max("parts"))
+    n_parts, seen = observed(turns.select(*key, "part", "piece").distinct().groupBy("_c_", "_n_").agg(F.count("*").alias("parts")), "parts", total=F.sum("parts"))
     speakers = turns.where(~F.col("role").isin(*STAGE)).select(*key, F.col("role").alias("perspective")).distinct().join(n_parts, ["_c_", "_n_"])
     blocks = turns.groupBy("c", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "n"))).alias("msgs"))
     blocks = blocks.withColumn("msgs", F.when(F.col("piece") == 0, F.col("msgs")).otherwise(F.flatten(F.transform("msgs", lambda m: F.array_repeat(m, m["n"].cast("int"))))))
-    rows = spread_join(blocks.select("*", *key), speakers, ["_c_", "_n_"], "parts", F.xxhash64("part", "piece"), seen["total"] or 0, seen["top"])
+    rows = spread_join(blocks.select("*", *key), speakers, ["_c_", "_n_"], "parts", F.xxhash64("part", "piece"), seen["total"] or 0)
 
     def header(m: Column) -> Column:
         name = _safe(F.regexp_replace(m["role"], "[\\n\\r]", " "))

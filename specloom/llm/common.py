@@ -148,17 +148,15 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return map_batches(df, run, schema)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, deal: Column, total: int, largest: int) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, deal: Column, total: int) -> DataFrame:
     """rows joined with table, which has one row a key; its column count says how many of all `total` rows hold the key.
 
     Keys of more than one in HEAVY rows would each bring their rows to one task. There are fewer than HEAVY of them, so
     they are broadcast to the rows, which they deal over as many numbered parts (by `deal`, a hash of the row) as it
-    takes to stay under that share; the table's row of such a key is copied to each part. largest: the largest count;
-    where no key is heavy, this is a plain join.
+    takes to stay under that share; the table's row of such a key is copied to each part. The plan is the same whether
+    or not there are heavy keys.
     """
     most = max(total // HEAVY, 64)
-    if (largest or 0) <= most:
-        return rows.join(table, keys)
     heavy = table.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts_"))
     # a key's own row may be null in no column of keys, as an inner join drops those
     dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_part_", F.coalesce(F.pmod(deal, F.col("_parts_").cast("long")).cast("int"), F.lit(0))).drop("_parts_")

@@ -121,8 +121,8 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 def _in_blocks(rows: DataFrame, reps: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Members k of the groups of keys with their vectors of reps, in arrays g of about limit: larger groups are cut by a hash of the id."""
-    sizes, seen = observed(rows.groupBy(*keys).agg(F.count("*").alias("cnt")).where("cnt > 1"), "sizes", total=F.sum("cnt"), top=F.max("cnt"))
-    met = spread_join(rows, sizes, keys, "cnt", F.xxhash64("k"), seen["total"] or 0, seen["top"])
+    sizes, seen = observed(rows.groupBy(*keys).agg(F.count("*").alias("cnt")).where("cnt > 1"), "sizes", total=F.sum("cnt"))
+    met = spread_join(rows, sizes, keys, "cnt", F.xxhash64("k"), seen["total"] or 0)
     cut = met.select(*keys, "k", F.pmod(F.xxhash64("k", *keys), F.ceil(F.col("cnt") / limit).cast("long")).cast("int").alias("blk"))
     return cut.join(reps, "k").repartition(partitions(rows.sparkSession), *keys, "blk").groupBy(*keys, "blk").agg(F.collect_list(F.struct("k", "v")).alias("g"))
 
@@ -206,8 +206,8 @@ def _near_blocks(blocks: DataFrame, kind: str, threshold: float) -> DataFrame:
 
 def _enlarged(members: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(k, n): links of each member (component, k, v, m) with all members, each weighed by the class size m; and (a, b): components that links join."""
-    sizes, seen = observed(members.groupBy("component").agg(F.count("*").alias("cnt")), "sizes", total=F.sum("cnt"), top=F.max("cnt"))
-    cut = spread_join(members, sizes, ["component"], "cnt", F.xxhash64("k"), seen["total"] or 0, seen["top"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.ceil(F.col("cnt") / WIDE_BLOCK).cast("long")).cast("int"))
+    sizes, seen = observed(members.groupBy("component").agg(F.count("*").alias("cnt")), "sizes", total=F.sum("cnt"))
+    cut = spread_join(members, sizes, ["component"], "cnt", F.xxhash64("k"), seen["total"] or 0).withColumn("blk", F.pmod(F.xxhash64("k"), F.ceil(F.col("cnt") / WIDE_BLOCK).cast("long")).cast("int"))
     blocks = materialize(cut.groupBy("component", "blk").agg(F.collect_list(F.struct("k", "v", "m")).alias("g")), "blocks")
     left, right = blocks.toDF("ci", "i", "x"), blocks.toDF("cj", "j", "y")
     met = _near_blocks(blocks, kind, threshold).join(left, ["ci", "i"]).join(right, ["cj", "j"]).repartition(partitions(members.sparkSession), "ci", "i", "cj", "j")

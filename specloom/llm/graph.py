@@ -19,10 +19,10 @@ from specloom.llm.common import discard, map_batches, materialize, observed, spr
 LOCAL_LINKS = 1 << 19
 
 
-def _smallest(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """(v, m: the smallest u of v, n: rows of v) as a table, the rows of all and of the largest v."""
-    low, seen = observed(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "low", total=F.sum("n"), top=F.max("n"))
-    return low, seen["total"] or 0, seen["top"] or 0
+def _smallest(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(v, m: the smallest u of v, n: rows of v) as a table, and the rows of all."""
+    low, seen = observed(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "low", total=F.sum("n"))
+    return low, seen["total"] or 0
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if old == new:
             break
         both = now.select("v", "u").unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low, total, top = _smallest(both)
+        low, total = _smallest(both)
         near = low.select("v", F.least("v", "m").alias("m"), "n")
-        large = spread_join(both, near, ["v"], "n", by, total, top).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = spread_join(both, near, ["v"], "n", by, total).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         mid = materialize(large.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")), "edges")
-        low2, total, top = _smallest(mid)
-        small = spread_join(mid, low2, ["v"], "n", by, total, top).where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low2.select("v", F.col("m").alias("u")))
+        low2, total = _smallest(mid)
+        small = spread_join(mid, low2, ["v"], "n", by, total).where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low2.select("v", F.col("m").alias("u")))
         small = small.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).where("v <> u").distinct()
         then, then_state = observed(small, "edges", **state)
         discard(now, mid, low, low2)

@@ -49,8 +49,8 @@ def dropped_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     kind = docs.schema["k"].dataType.simpleString()
     keys, n = observed(_keys(docs, kind, min_chars), "keys", total=F.count(F.lit(1)))
     held = keys.distinct() if has_repeated_ids(docs, "k") else keys
-    often, top = observed(held.groupBy("h").agg(F.count("*").alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs), "lines", n=F.max("n"))
-    lost = spread_join(keys, often, ["h"], "n", F.xxhash64("k"), n["total"], top["n"]).where(~F.col("k").eqNullSafe(F.col("last")))
+    often = materialize(held.groupBy("h").agg(F.count("*").alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs), "lines")
+    lost = spread_join(keys, often, ["h"], "n", F.xxhash64("k"), n["total"] or 0).where(~F.col("k").eqNullSafe(F.col("last")))
     drops = materialize(lost.groupBy("k").agg(F.collect_set("h").alias("drops")), "drops")
     discard(keys, often)
     return drops

@@ -329,8 +329,8 @@ def _forest_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[int]:
 
 def _met(members: DataFrame, kind: str, threshold: int) -> DataFrame:
     """Links (a, b) of a spanning forest over all links of each bucket; members: (bucket, k, c, n, s)."""
-    sizes, seen = observed(members.groupBy("bucket").agg(F.count("*").alias("cnt"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "sizes", total=F.sum("cnt"), top=F.max("cnt"))
-    groups = _dealt(spread_join(members, sizes, ["bucket"], "cnt", F.xxhash64("k"), seen["total"] or 0, seen["top"]), F.col("blocks"), ["k", "c", "s"])
+    sizes, seen = observed(members.groupBy("bucket").agg(F.count("*").alias("cnt"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "sizes", total=F.sum("cnt"))
+    groups = _dealt(spread_join(members, sizes, ["bucket"], "cnt", F.xxhash64("k"), seen["total"] or 0), F.col("blocks"), ["k", "c", "s"])
 
     def fn(batch: pa.RecordBatch) -> dict:
         left, right = [], []
@@ -370,15 +370,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     base = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t"))
     sk = materialize(_sketches(base, kind, width, bands * rows), "sketches")
     some = sk.where("n > 0 AND k IS NOT NULL")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"))
+    classes, copies = observed(some.groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"), F.count("*").alias("cnt")), "classes", total=F.sum("cnt"))
     # repeated ids keep one sketch here: any of them when texts differ would do for its class only
-    member = some.select("k", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).select("k", "n", "rep", "d1", "d2")
+    member = spread_join(some.select("k", "d1", "d2", "n"), classes, ["d1", "d2", "n"], "cnt", F.xxhash64("k"), copies["total"] or 0).select("k", "n", "rep", "d1", "d2")
     member = materialize(member, "members")
     reps = materialize(some.join(classes.select(F.col("rep").alias("k"), "d1", "d2", "n"), ["k", "d1", "d2", "n"]).dropDuplicates(["k", "d1", "d2", "n"]).select("k", "n", "regs"), "reps")
 
     band, n = observed(_bands(reps, kind, bands, rows), "bands", total=F.count(F.lit(1)))
-    bucket, seen = observed(band.groupBy("bucket").agg(F.min("k").alias("a"), F.count("*").alias("cnt")).where("cnt > 1"), "buckets", total=F.sum("cnt"), top=F.max("cnt"))
-    shared = materialize(spread_join(band, bucket, ["bucket"], "cnt", F.xxhash64("k"), n["total"], seen["top"]).select("bucket", "a", F.col("k").alias("b"), "cnt"), "shared")
+    bucket, seen = observed(band.groupBy("bucket").agg(F.min("k").alias("a"), F.count("*").alias("cnt")).where("cnt > 1"), "buckets", total=F.sum("cnt"))
+    shared = materialize(spread_join(band, bucket, ["bucket"], "cnt", F.xxhash64("k"), n["total"] or 0).select("bucket", "a", F.col("k").alias("b"), "cnt"), "shared")
     discard(band, bucket)
     star = shared.where("a <> b").select("a", "b").distinct()
     likely = materialize(_estimated(star, reps, kind, least), "likely")
@@ -401,8 +401,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     # of the buckets that hold several components: the largest one, of equal ones that of the largest id
     parts = named.groupBy("bucket", "c").agg(F.count("*").alias("own"))
     several = parts.groupBy("bucket").agg(F.max(F.struct("own", "c")).alias("top"), F.sum("own").alias("cnt"), F.count("*").alias("kinds")).where("kinds > 1")
-    several, some = observed(several.select("bucket", "cnt", F.col("top.c").alias("top"), F.col("top.own").alias("n_most"), (F.col("cnt") - F.col("top.own")).alias("n_rest")), "several", top=F.max("cnt"))
-    mixed = spread_join(named.drop("cnt"), several, ["bucket"], "cnt", F.xxhash64("k"), seen["total"] or 0, some["top"])
+    several = materialize(several.select("bucket", "cnt", F.col("top.c").alias("top"), F.col("top.own").alias("n_most"), (F.col("cnt") - F.col("top.own")).alias("n_rest")), "several")
+    mixed = spread_join(named.drop("cnt"), several, ["bucket"], "cnt", F.xxhash64("k"), seen["total"] or 0)
     mixed = mixed.withColumn("most", F.col("c") == F.col("top")).join(reps, "k").select("bucket", "n_most", "n_rest", "most", "k", "c", "n", "regs")
     likely2 = materialize(_across(mixed, kind, least, rows), "likely")
     member2 = likely2.join(reps.select("k", "n"), "k").join(comp.select(F.col("node").alias("k"), "component"), "k", "left").join(sets, "k")

@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     stored = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens")
     # two writers may have stored the same digest: one count a digest
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    copies, seen = observed(digests.groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n")), "copies", total=F.sum("n"), top=F.max("n"))
+    copies, seen = observed(digests.groupBy("digest").agg(F.min("k").alias("k"), F.count("*").alias("n")), "copies", total=F.sum("n"))
     keyed = copies.join(stored.select("digest"), "digest", "left_anti").select(F.col("k").alias("rk"), F.col("digest").alias("want"))
     texts = base.withColumn("digest", F.unhex(F.sha2("t", 256)))
     # rows of one id may hold several texts: the digest says which one is wanted
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     known = materialize(copies.select("digest", "n").join(counts, "digest"), "known")
     discard(copies)
-    met = spread_join(digests, known, ["digest"], "n", F.xxhash64("k"), seen["total"] or 0, seen["top"])
+    met = spread_join(digests, known, ["digest"], "n", F.xxhash64("k"), seen["total"] or 0)
     return met.select(F.col("k").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
