@@ -152,16 +152,21 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     """rows joined with table, which has one row a key; its column count says how many of all `total` rows hold the key.
 
     Keys of more than one in HEAVY rows would each bring their rows to one task. There are fewer than HEAVY of them, so
-    they are broadcast to the rows, which they deal over as many numbered parts (by `deal`, a hash of the row) as it
+    their hashes go into the plan, which deals their rows over as many numbered parts (by `deal`, a hash of the row) as it
     takes to stay under that share; the table's row of such a key is copied to each part. The plan is the same whether
     or not there are heavy keys.
     """
     most = max(total // HEAVY, 64)
-    heavy = table.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts_"))
-    # a key's own row may be null in no column of keys, as an inner join drops those
-    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_part_", F.coalesce(F.pmod(deal, F.col("_parts_").cast("long")).cast("int"), F.lit(0))).drop("_parts_")
-    parts = F.when(F.col(count) > most, F.sequence(F.lit(0), F.ceil(F.col(count) / most).cast("int") - 1)).otherwise(F.array(F.lit(0)))
-    copied = table.withColumn("_part_", F.explode(parts))
+    key = F.xxhash64(*keys)
+    heavy = table.where(F.col(count) > most).select(key.alias("h"), F.ceil(F.col(count) / most).cast("int").alias("n")).collect()  # fewer than HEAVY rows
+    # by hash on either side alike, so a key that shares one with a heavy key is dealt as that is
+    most_parts = {r.h: r.n for r in sorted(heavy, key=lambda r: r.n)}
+    parts = F.lit(1)
+    if most_parts:
+        known = F.create_map(*[F.lit(x) for h, n in most_parts.items() for x in (h, n)])
+        parts = F.when(key.isin(*most_parts), F.try_element_at(known, key)).otherwise(F.lit(1))
+    dealt = rows.withColumn("_part_", F.pmod(deal, parts.cast("long")).cast("int"))
+    copied = table.withColumn("_part_", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(copied, [*keys, "_part_"]).drop("_part_")
 
 
