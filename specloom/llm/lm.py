@@ -9,9 +9,10 @@ probability times its share in that class, with one added to each count and one
 
 Training doesn't depend on how Spark has cut the table. A hash of text and id (so copies part) deals it to one of ROUNDS
 rounds and of as many shards of about SHARD_TOKENS tokens as the corpus has. In a round each shard starts from the same parameters and
-runs noise-contrastive estimation over its texts in the order of their hashes, on every STRIDE-th position; the shards'
-parameters are averaged, weighted by positions, in a Spark aggregate, and start the next round. Every training text is
-read, and nothing of the corpus reaches the driver but counts of the frequent words and the averages.
+runs noise-contrastive estimation over its texts in the order of their hashes, on every position; the shards' parameters
+are averaged, weighted by positions, in a Spark aggregate, and start the next round. Every token of every training text
+is learnt from in one of the rounds, and nothing of the corpus reaches the driver but counts of the frequent words and
+the averages.
 
 Counts of frequent words (FREQUENT at most) travel as a broadcast; those of the others come by a join on the word. A
 word of over WORD_BYTES bytes stands there by its digest, so a long address in every text is a frequent word like any
@@ -43,7 +44,6 @@ NOISE = 64
 GROUP_NOISE = 16
 ROUNDS = 3
 SHARD_TOKENS = 1_000_000
-STRIDE = 3
 #: Positions of a step: the first steps are short, so that little text gives many of them; each size lasts GROW steps.
 BATCH_FIRST, BATCH_LAST, GROW = 256, 4096, 24
 RATE = 0.08
@@ -100,26 +100,33 @@ class LogBilinear:
     def log_probs(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Normalised natural log probabilities of w after (w2, w1)."""
         out = np.empty(len(w))
-        h = self.c[0] * self.r[w1]
-        h += self.c[1] * self.r[w2]
-        of = w // self.group
+        h = np.ones((len(w), self.r.shape[1] + 1), np.float32)  # the last column takes the biases
+        np.multiply(self.c[0], self.r[w1], out=h[:, :-1])
+        h[:, :-1] += self.c[1] * self.r[w2]
+        q, qg = np.column_stack((self.q, self.b)).T, np.column_stack((self.qg, self.bg)).T
+        of = (w // self.group).astype(np.int16)  # 16-bit keys are sorted by their digits
         order = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[order], np.arange(self.groups + 1))
         for g in range(self.groups):
-            for a in range(ends[g], ends[g + 1], 4096):
-                at = order[a : min(a + 4096, ends[g + 1])]
+            for a in range(ends[g], ends[g + 1], 1024):
+                at = order[a : min(a + 1024, ends[g + 1])]
                 x = h[at]
-                out[at] = _softmax(x @ self.qg.T + self.bg, g) + _softmax(x @ self.q[g * self.group : (g + 1) * self.group].T + self.b[g * self.group : (g + 1) * self.group], w[at] - g * self.group)
+                out[at] = _softmax(x @ qg, g) + _softmax(x @ q[:, g * self.group : (g + 1) * self.group], w[at] - g * self.group)
         return out
 
 
 def _softmax(s: np.ndarray, of) -> np.ndarray:
     """Log probabilities of the columns `of` of rows of scores."""
     own = s[np.arange(len(s)), of].astype(float)
-    top = s.max(1)
+    ones = np.ones(s.shape[1], s.dtype)
+    with np.errstate(over="ignore"):
+        total = np.exp(s) @ ones
+    if 1e-30 < total.min() and total.max() < 1e30:
+        return own - np.log(total)
+    top = s.max(1)  # scores too far from 0 for their exponentials
     s -= top[:, None]
     np.exp(s, out=s)
-    return own - top - np.log(s.sum(1))
+    return own - top - np.log(s @ ones)
 
 
 class Trainer:
@@ -137,13 +144,13 @@ class Trainer:
 
     def _update(self, k: str, at, grad: np.ndarray) -> None:
         x, sq = getattr(self.m, k), self.m.sq[k]
-        sq[at] += (grad * grad).reshape(len(grad), -1).mean(1)
+        sq[at] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1] if grad.ndim == 2 else grad * grad
         rate = RATE / np.sqrt(sq[at])
         x[at] -= grad * (rate[:, None] if grad.ndim == 2 else rate)
 
     @staticmethod
     def _sums(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")  # ids are 16-bit numbers: sorted by their digits
         s = ids[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         return s[first], np.add.reduceat(g[order], first, axis=0)
@@ -151,7 +158,7 @@ class Trainer:
     @staticmethod
     def _contrast(h: np.ndarray, q: np.ndarray, b: np.ndarray, ln: np.ndarray, y: np.ndarray, noise: np.ndarray):
         """Gradients (of the data's scores, of the noise's scores): the data against the noise samples, each score less the log of the expected number of noise samples."""
-        dp = 1 / (1 + np.exp(-((h * q[y]).sum(1) + b[y] - ln[y]))) - 1
+        dp = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", h, q[y]) + b[y] - ln[y]))) - 1
         s = h @ q[noise].T
         s += b[noise] - ln[noise]
         np.negative(s, out=s)
@@ -194,7 +201,7 @@ class Trainer:
         at, gq = self._sums(np.concatenate((y, noise)), np.concatenate((np.column_stack((dp[:, None] * h, dp)), np.column_stack((dn.T @ h, dn.sum(0))))))
         ag, gg = self._sums(np.concatenate((of, few)), np.concatenate((np.column_stack((ep[:, None] * h, ep)), np.column_stack((en.T @ h, en.sum(0))))))
         ar, gr = self._sums(np.concatenate((x1, x2)), np.concatenate((gh * m.c[0], gh * m.c[1])))
-        gc = np.stack(((gh * r1).sum(0), (gh * r2).sum(0)))
+        gc = np.stack((np.einsum("ij,ij->j", gh, r1), np.einsum("ij,ij->j", gh, r2)))
         scale = np.float32(1 / math.sqrt(len(y)))
         for k, i, g in (("q", at, gq[:, :-1]), ("b", at, gq[:, -1]), ("qg", ag, gg[:, :-1]), ("bg", ag, gg[:, -1]), ("r", ar, gr), ("c", slice(None), gc)):
             self._update(k, i, g * scale)
@@ -333,13 +340,13 @@ def train(texts: DataFrame, lexicon, start: LogBilinear, tokens: int) -> LogBili
                     total, seen = total + m.pack() * t.seen, seen + t.seen
 
             for batch in batches:
-                for shard, h, w in zip(batch.column("shard").to_pylist(), batch.column("h").to_pylist(), batch.column("w"), strict=True):
+                for shard, w in zip(batch.column("shard").to_pylist(), batch.column("w"), strict=True):
                     if shard != now:
                         done()
                         t, now = Trainer(copy.deepcopy(model.value), [k, shard]), shard
                     w = np.frombuffer(w.as_buffer(), "<i2").astype(np.int64)
                     w1, w2 = lex.contexts(w, np.array([0, len(w)]))
-                    t.add(*(x[h % STRIDE :: STRIDE] for x in (w1, w2, w)))
+                    t.add(w1, w2, w)
             done()
             if seen:
                 yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(total)), pa.int64()), "n": pa.array(np.full(len(total), float(seen))), "v": pa.array(total.tolist(), pa.list_(pa.float64()))})

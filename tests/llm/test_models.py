@@ -161,6 +161,22 @@ def test_training_learns_an_order_and_not_the_partitions(spark):
         assert all(math.isclose(x, scores[0][i][0], rel_tol=1e-6) for i, (x, _) in other.items())
 
 
+def test_every_position_of_a_text_is_learnt_from(spark):
+    """Three words in turn: a model that reads every third position of the one text learns one of the three successors."""
+    lexicon, model, _ = lm.fit(util.documents(spark, [(2, "xa yb zc " * 10_000)]))
+    x, y, z = (lexicon.value.ids[w] for w in (b"xa", b"yb", b"zc"))
+    assert lexicon.value.n == 30_001
+    assert np.exp(model.log_probs(np.array([x, y, z]), np.array([z, x, y]), np.array([y, z, x]))).min() > 0.5
+
+
+@pytest.mark.parametrize("shift", [0.0, 200.0, -200.0])
+def test_probabilities_of_scores_far_from_0(shift):
+    s = np.random.default_rng(5).normal(0, 3, (50, 9)).astype(np.float32)
+    of = np.arange(50) % 9
+    want = np.log(np.exp(s.astype(float))[np.arange(50), of] / np.exp(s.astype(float)).sum(1))
+    assert np.allclose(lm._softmax(s + np.float32(shift), of), want, atol=1e-4)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_held_out_prose_is_likelier_than_word_by_word(spark):
     """The gain over the base is 0.088 a token on a table of 1,000 documents, when measured."""
