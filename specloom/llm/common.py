@@ -148,6 +148,15 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return map_batches(df, run, schema)
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """table for a join with texts: both sides are sorted by the key at every size, so the plan of a small input is that of a large one.
+
+    Spark estimates a written table by the bytes of its file; compressed digests or ids are many times that in memory, where
+    a broadcast holds them whole.
+    """
+    return table.hint("merge")
+
+
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, deal: Column, total: int) -> DataFrame:
     """rows joined with table, which has one row a key; its column count says how many of all `total` rows hold the key.
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import SPACES, arrow_map, discard, fresh_name, has_repeated_ids, map_batches, materialize, observed, spread_join, text_bytes
+from specloom.llm.common import SPACES, arrow_map, by_shuffle, discard, fresh_name, has_repeated_ids, map_batches, materialize, observed, spread_join, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t"))
     drops = dropped_keys(base, min_docs, min_chars)
-    joined = base.withColumnRenamed("k", "k0").join(drops, F.col("k0").eqNullSafe(F.col("k")), "left").select(F.col("k0").alias("k"), "t", "drops")
+    joined = base.withColumnRenamed("k", "k0").join(by_shuffle(drops), F.col("k0").eqNullSafe(F.col("k")), "left").select(F.col("k0").alias("k"), "t", "drops")
 
     def fn(batch: pa.RecordBatch) -> dict:
         n, gone, sha, kept = [], [], [], []
@@ -96,7 +96,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     drops = dropped_keys(base, min_docs, min_chars)
     key, lines = fresh_name(docs, "_k_"), fresh_name(docs, "_drops_")
     drops = drops.select(F.col("k").alias(key), F.col("drops").alias(lines))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col(key)), "left").drop(key)
+    joined = docs.join(by_shuffle(drops), docs[id_col].eqNullSafe(F.col(key)), "left").drop(key)
 
     def run(batches):
         for batch in batches:

@@ -129,6 +129,18 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(util.documents(spark, [])).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lost_lines_meet_their_texts_by_the_same_join_at_every_size(spark):
+    """A table of few bytes is no reason to broadcast it: compressed digests are many times their file."""
+    docs = util.documents(spark, extra=False)
+    for df in (linededup.dedup_lines(docs), linededup.drop_repeated_lines(docs)):
+        plan = _plan(df)
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 # --- near-dedup -------------------------------------------------------------------------------------
 
 
