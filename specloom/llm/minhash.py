@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import arrow_map, binary_slices, discard, fresh_name, materialize, mix64, observed, partitions, shingle_sets, spread_join, text_bytes
+from specloom.llm.common import arrow_map, binary_slices, by_shuffle, discard, fresh_name, materialize, mix64, observed, partitions, shingle_sets, spread_join, text_bytes
 from specloom.llm.graph import connected_components
 
 WIDTH = 4
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     likely = materialize(_estimated(star, reps, kind, least), "likely")
 
     wanted = shared.select("b").distinct().withColumnRenamed("b", "k")
-    texts = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).join(wanted, "k", "left_semi")
+    texts = docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")).join(by_shuffle(wanted), "k", "left_semi")
 
     def sets_of(batch: pa.RecordBatch) -> dict:
         out = []
@@ -426,7 +426,7 @@ def keep_one_each(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, i
     found = near_duplicates(docs, width, threshold, id_col=id_col, text_col=text_col)
     name = fresh_name(docs, "_gone_")
     gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(name)).agg(F.max("kept").alias("stays")).where("NOT stays").select(name)
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti").select(*docs.columns)
+    return docs.join(by_shuffle(gone), docs[id_col] == F.col(name), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

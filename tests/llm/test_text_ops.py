@@ -175,6 +175,19 @@ def test_chains_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out.collect()} == util.groups([i for i, _ in rows], util.near_links(rows, 4))
 
 
+def test_texts_meet_ids_by_the_same_join_at_every_size(spark, monkeypatch):
+    plans, write = {}, minhash.materialize
+
+    def seen(df, name):
+        plans[name] = _plan(df)
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "materialize", seen)
+    plans["kept"] = _plan(minhash.keep_one_each(util.documents(spark, extra=False)))
+    for name, kind in (("sets", "LeftSemi"), ("kept", "LeftAnti")):
+        assert re.search(rf"SortMergeJoin [^\n]*{kind}", plans[name]), name
+
+
 def test_sketches_merge_and_estimate():
     g = np.random.default_rng(2)
     a, b = (np.unique(g.integers(0, 1 << 62, 3000).astype(np.uint64)) for _ in range(2))
