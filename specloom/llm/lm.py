@@ -17,22 +17,24 @@ the averages.
 Counts of frequent words (FREQUENT at most) travel as a broadcast; those of the others come by a join on the word. A
 word of over WORD_BYTES bytes stands there by its digest, so a long address in every text is a frequent word like any
 other, and what is left to the join is in few rows: one in FREQUENT of all tokens at most.
+
+Words are cut, counted and looked up as Arrow arrays of a few MB of text at a time, not one by one.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm.common import discard, fold_of, map_batches, materialize, partitions, text_bytes
+from specloom.llm.common import BATCH_BYTES, SPACES, binary_slices, discard, fold_of, map_batches, materialize, partitions, text_bytes
 
 FREQUENT = 65_536
 WORD_BYTES = 64
@@ -47,15 +49,36 @@ SHARD_TOKENS = 1_000_000
 #: Positions of a step: the first steps are short, so that little text gives many of them; each size lasts GROW steps.
 BATCH_FIRST, BATCH_LAST, GROW = 256, 4096, 24
 RATE = 0.08
+#: Positions whose contexts are in memory at once when texts are scored.
+BLOCK = 1 << 17
 _LN10 = math.log(10)
+_LOWER = bytes(range(256)).lower()
+
 
+def words_of(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) words [^\\x20\\x09-\\x0D]+ of texts one after another, and each text's first (one more entry than texts).
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words [^\\x20\\x09-\\x0D]+; one of over WORD_BYTES bytes is a blank and its digest, which is no word."""
-    words = text.lower().split()
-    if words and max(map(len, words)) > WORD_BYTES:
-        return [w if len(w) <= WORD_BYTES else b" " + hashlib.sha256(w).digest() for w in words]
-    return words
+    data, off: the texts' bytes and where they start in them. A word of over WORD_BYTES bytes is a blank and its digest,
+    which is no word. No word is a Python object, but for those.
+    """
+    n = len(data)
+    solid = (data != 0x20) & (data - np.uint8(9) > 4)
+    start, end = solid.copy(), solid.copy()
+    np.greater(solid[1:], solid[:-1], out=start[1:])
+    np.greater(solid[:-1], solid[1:], out=end[:-1])
+    inner = off[(off > 0) & (off < n)]  # a word ends with its text
+    start[inner], end[inner - 1] = solid[inner], solid[inner - 1]
+    starts = np.flatnonzero(start)
+    sizes = np.flatnonzero(end) + 1 - starts
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(sizes, out=at[1:])
+    raw = data.tobytes().translate(_LOWER, SPACES)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+    long = sizes > WORD_BYTES
+    if long.any():
+        digests = [b" " + hashlib.sha256(raw[at[i] : at[i + 1]]).digest() for i in np.flatnonzero(long)]
+        words = pc.replace_with_mask(words, pa.array(long), pa.array(digests, pa.binary()))
+    return words, np.searchsorted(starts, off)
 
 
 class LogBilinear:
@@ -99,6 +122,8 @@ class LogBilinear:
 
     def log_probs(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Normalised natural log probabilities of w after (w2, w1)."""
+        if len(w) > BLOCK:
+            return np.concatenate([self.log_probs(*(x[a : a + BLOCK] for x in (w1, w2, w))) for a in range(0, len(w), BLOCK)])
         out = np.empty(len(w))
         h = np.ones((len(w), self.r.shape[1] + 1), np.float32)  # the last column takes the biases
         np.multiply(self.c[0], self.r[w1], out=h[:, :-1])
@@ -209,9 +234,21 @@ class Trainer:
         self.seen += len(y)
 
 
-def rest_class(word: bytes) -> int:
-    """The class of a word outside the model's own, by its last two bytes."""
-    return zlib.crc32(word[-2:]) % REST
+@functools.cache
+def _suffix_classes() -> np.ndarray:
+    """Classes of all pairs of last bytes (the first one times 256, and the second), then of all single bytes."""
+    return np.array([zlib.crc32(bytes((x, y))) % REST for x in range(256) for y in range(256)] + [zlib.crc32(bytes((x,))) % REST for x in range(256)], np.int64)
+
+
+def rest_classes(words: pa.Array, some=slice(None)) -> np.ndarray:
+    """The classes of some of the words as words outside the model's own, by their last two bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)
+    begin, end = off[:-1][some], off[1:][some]
+    last = raw[end - 1].astype(np.int64)
+    return _suffix_classes()[np.where(end - begin > 1, raw[end - 2].astype(np.int64) << 8, 1 << 16) + last]
 
 
 class Lexicon:
@@ -222,46 +259,32 @@ class Lexicon:
         self.k = min(lbl_words, len(words))
         self.ids = {w: i for i, (w, _) in enumerate(words)}
         self.counts = np.array([c for _, c in words], np.int64)
-        self.rest_of = np.array([rest_class(w) for w, _ in words], np.int64)
         self.n, self.v, self.train_docs = n, v, train_docs
         self.end, self.first_rest, self.start = self.k, self.k + 1, self.k + 1 + REST
-        own = self.rest_of[: self.k]
+        own = rest_classes(pa.array([w for w, _ in words[: self.k]], pa.binary()))
         total = np.array([by_class.get(i, (0, 0)) for i in range(REST)], float).reshape(REST, 2)
         self.rest_n = total[:, 0] - np.bincount(own, self.counts[: self.k], REST)[:REST]
         self.rest_log = np.log10(self.rest_n + total[:, 1] - np.bincount(own, minlength=REST)[:REST] + 1)
         self.base_log = math.log10(n + v + 1)
-        self._suffix: dict[bytes, int] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_suffix": {}}
+        self.words = pa.array(list(self.ids), pa.binary())
 
     def unigram(self) -> np.ndarray:
         return np.concatenate((self.counts[: self.k], [self.train_docs], self.rest_n)).astype(float) + 1.0
 
-    def sequences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Frequent-word ids (-1: none, -2: the end) of the texts one after another, their output classes, the texts' firsts, and their words."""
-        rows = [tokens_of(t) for t in texts]
-        first = np.concatenate(([0], np.cumsum([len(r) + 1 for r in rows]))).astype(np.int64)
-        ids = np.full(first[-1], -2, np.int64)
-        for r, at in zip(rows, first, strict=False):
-            if r:
-                ids[at : at + len(r)] = np.fromiter(map(self.ids.get, r, repeat(-1)), np.int64, len(r))
-        out = ids.copy()
-        some = np.flatnonzero(ids >= self.k)
-        out[some] = self.first_rest + self.rest_of[ids[some]]
-        out[ids == -2] = self.end
-        memo = self._suffix
-        lost = np.flatnonzero(ids == -1)
-        of = np.searchsorted(first, lost, side="right") - 1
-        classes = np.empty(len(lost), np.int64)
-        for i, (d, p) in enumerate(zip(of.tolist(), (lost - first[of]).tolist(), strict=True)):
-            end = rows[d][p][-2:]
-            c = memo.get(end)
-            if c is None:
-                memo[end] = c = rest_class(end)
-            classes[i] = c
-        out[lost] = self.first_rest + classes
-        return ids, out, first, rows
+    def sequences(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of texts one after another (see words_of): frequent-word ids (-1: none, -2: the end), their output classes, the texts' firsts; the words without an id, and their texts' numbers."""
+        words, at = words_of(data, off)
+        found = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = found.copy()
+        rest = np.flatnonzero((found < 0) | (found >= self.k))
+        out[rest] = self.first_rest + rest_classes(words, rest)
+        first = at + np.arange(len(at))
+        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = np.arange(len(words)) + of
+        ids, classes = np.full(first[-1], -2, np.int64), np.full(first[-1], self.end, np.int64)
+        ids[place], classes[place] = found, out
+        lost = np.flatnonzero(found < 0)
+        return ids, classes, first, words.take(pa.array(lost)), of[lost]
 
     def contexts(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two tokens before each."""
@@ -273,22 +296,32 @@ class Lexicon:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(w, k: its class, c) of the column t; each task sends one partial count a word and half a million words."""
+    """(w, k: its class, c) of the column t; a task sends what it has counted whenever that is half a million words or more."""
 
     def run(batches):
-        c: Counter = Counter()
+        held, n = [], 0
 
-        def out():
-            return pa.RecordBatch.from_pydict({"w": pa.array(list(c.keys()), pa.binary()), "k": pa.array([rest_class(w) for w in c], pa.int32()), "c": pa.array(list(c.values()), pa.int64())})
+        def sums():
+            t = pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+            return pa.table({"w": t["w"], "c": t["c_sum"]})
+
+        def out(t):
+            for b in t.to_batches(max_chunksize=1 << 17):
+                yield pa.RecordBatch.from_pydict({"w": b.column("w"), "k": pa.array(rest_classes(b.column("w")), pa.int32()), "c": b.column("c")})
 
         for batch in batches:
-            for x in batch.column("t"):
-                c.update(tokens_of(x.as_py()))
-                if len(c) >= 500_000:
-                    yield out()
-                    c.clear()
-        if c:
-            yield out()
+            for _, _, data, off in binary_slices(batch.column("t"), BATCH_BYTES):
+                c = pc.value_counts(words_of(data, off)[0])
+                held.append(pa.table({"w": c.field(0), "c": c.field(1)}))
+                n += len(c)
+                if n >= 1_000_000:
+                    held = [sums()]
+                    n = len(held[0])
+                    if n >= 500_000:
+                        yield from out(held[0])
+                        held, n = [], 0
+        if n:
+            yield from out(sums())
 
     return map_batches(texts, run, "w binary, k int, c long").groupBy("w", "k").agg(F.sum("c").alias("c"))
 
@@ -315,11 +348,10 @@ def train(texts: DataFrame, lexicon, start: LogBilinear, tokens: int) -> LogBili
     def encode(batches):
         lex = lexicon.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                _, out, first, _ = lex.sequences(part.column("t").to_pylist())
-                out = out.astype("<i2").tobytes()
-                yield pa.RecordBatch.from_pydict({"h": part.column("h"), "w": pa.array([out[2 * x : 2 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())})
+            for a, b, data, off in binary_slices(batch.column("t"), BATCH_BYTES):
+                _, out, first, _, _ = lex.sequences(data, off)
+                w = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(out.astype("<i2"))])
+                yield pa.RecordBatch.from_pydict({"h": batch.column("h").slice(a, b - a), "w": w})
 
     seqs = map_batches(texts.select(F.xxhash64("t", "k").alias("h"), "t"), encode, "h long, w binary")
     dealt = seqs.select(F.pmod("h", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.floor(F.col("h") / ROUNDS), F.lit(shards)).cast("long").alias("shard"), "h", "w")
@@ -402,9 +434,8 @@ def score(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text
         logs = np.log10(lex.counts + 1.0)
         end_log = math.log10((lex.train_docs if lex.train_docs else 0) + 1.0)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                b = batch.slice(a, 256)
-                ids, w, first, rows = lex.sequences(b.column("t").to_pylist())
+            for a, b, data, off in binary_slices(batch.column("t"), BATCH_BYTES):
+                ids, w, first, lost, of = lex.sequences(data, off)
                 lp = m.log_probs(*lex.contexts(w, first), w) / _LN10
                 other = w >= lex.first_rest
                 lp[other] -= lex.rest_log[w[other] - lex.first_rest]
@@ -417,32 +448,25 @@ def score(docs: DataFrame, fitted, id_col: str = "doc_id", text_col: str = "text
                 seen = known | ((ids == -2) & (lex.train_docs > 0))
                 at = first[:-1]
                 sums = [np.add.reduceat(x, at) for x in (lp, basis, seen.astype(np.int64))]
-                r, k = b.column("r"), b.column("k")
+                r = batch.column("r").slice(a, b - a)
+                whole = pa.StructArray.from_arrays([batch.column("k").slice(a, b - a), pa.array(np.diff(first)), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0])], ["k", "tokens", "known", "base", "lp"])
                 # the texts' own rows: no word holds a space, so these words meet no count
-                yield pa.RecordBatch.from_pydict({"r": r, "k": k, "w": pa.array([b" %d" % x for x in r.to_pylist()], pa.binary()), "n": pa.array(np.zeros(len(at), np.int64)), "tokens": pa.array(np.diff(first)), "known": pa.array(sums[2]), "base": pa.array(sums[1]), "lp": pa.array(sums[0])})
-                words, times, of = [], [], []
-                for i, ws in enumerate(rows):
-                    unknown = ids[first[i] : first[i + 1] - 1] == -1
-                    if unknown.any():
-                        c = Counter([ws[j] for j in np.flatnonzero(unknown)])
-                        words.extend(c.keys())
-                        times.extend(c.values())
-                        of.extend([i] * len(c))
-                if words:
-                    of = pa.array(of, pa.int64())
-                    zero = np.zeros(len(words))
-                    yield pa.RecordBatch.from_pydict({"r": r.take(of), "k": k.take(of), "w": pa.array(words, pa.binary()), "n": pa.array(times, pa.int64()), "tokens": pa.array(zero.astype(np.int64)), "known": pa.array(zero.astype(np.int64)), "base": pa.array(zero), "lp": pa.array(zero)})
-
-    parts = map_batches(base, run, f"r long, k {kind}, w binary, n long, tokens long, known long, base double, lp double")
+                yield pa.RecordBatch.from_pydict({"r": r, "w": pa.array([b" %d" % x for x in r.to_pylist()], pa.binary()), "n": pa.array(np.zeros(b - a, np.int64)), "own": whole})
+                if len(lost):
+                    t = pa.table({"of": of, "w": lost}).group_by(["of", "w"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                    for x in t.to_batches():
+                        yield pa.RecordBatch.from_pydict({"r": r.take(x.column("of")), "w": x.column("w"), "n": x.column("count_all"), "own": pa.nulls(x.num_rows, whole.type)})
+
+    parts = map_batches(base, run, f"r long, w binary, n long, own struct<k: {kind}, tokens: long, known: long, base: double, lp: double>")
     # words that many rows hold are in the broadcast; what texts outside the training have alone, Spark's own skew join deals
     joined = parts.join(counts.select("w", "c"), "w", "left")
     own = F.log10(F.coalesce("c", F.lit(0)) + 1)
     out = joined.groupBy("r").agg(
-        F.max("k").alias("k"),
-        F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("n") * (own - base_log)).alias("base_score"),
-        F.sum(F.col("lp") + F.col("n") * own).alias("score"),
+        F.max("own.k").alias("k"),
+        F.sum("own.tokens").alias("n_tokens"),
+        (F.sum("own.known") + F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
+        (F.sum("own.base") + F.sum(F.col("n") * (own - base_log))).alias("base_score"),
+        (F.sum("own.lp") + F.sum(F.col("n") * own)).alias("score"),
     )
     return out.select(F.col("k").alias(id_col), (fold_of("k", folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(lex0.n).cast("long").alias("train_tokens"), "base_score", "score")
 

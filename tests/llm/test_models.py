@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from specloom.llm import lm, toxicity
+from specloom.llm.common import binary_slices
 from tests.llm import util
 
 
@@ -124,6 +128,48 @@ def test_lm_counts_and_base(spark, frequent):
     assert lm.score(util.documents(spark, []), fitted).count() == 0
 
 
+def _looked_up(texts, words, k):
+    """Ids, output classes, firsts and words without an id, word by word in Python."""
+    ids, out, first, lost = [], [], [0], []
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            w = w if len(w) <= lm.WORD_BYTES else b" " + hashlib.sha256(w).digest()
+            ids.append(words.get(w, -1))
+            out.append(ids[-1] if 0 <= ids[-1] < k else k + 1 + zlib.crc32(w[-2:]) % lm.REST)
+            if ids[-1] < 0:
+                lost.append((i, w))
+        ids.append(-2)
+        out.append(k)
+        first.append(len(ids))
+    return ids, out, first, lost
+
+
+def test_words_are_looked_up_as_one_by_one_in_less_time():
+    g = random.Random(9)
+    odd = [b"", b" ", b"a", b" a", b"a ", b"\x00\xff A\x0b\x0cB\x1c\x1dc\x85d\xa0", b"x" * 64 + b" " + b"Y" * 65, b"\t\n", b"Zz\r\nQ", b"X" * 70]
+    odd += [bytes(g.choice(b" \t\nabAB\xc3\x00\x0e\x08\x1f!") for _ in range(g.randint(0, 150))) for _ in range(300)]
+    prose = [" ".join(f"{g.choice('abcdefgh')}{int(g.paretovariate(0.7)) % 20_000}" for _ in range(400)).encode() for _ in range(500)]
+    for texts in ([], [b"", b""], odd, prose):
+        c = Counter(w for t in texts for w in t.lower().split() if len(w) <= lm.WORD_BYTES)
+        words = c.most_common(len(c) // 2)
+        lex = lm.Lexicon(words, 1, 1, 1, len(words) // 2, {i: (10**6, 10**6) for i in range(lm.REST)})
+        slices = list(binary_slices(pa.array(texts, pa.binary())))
+        assert len(slices) == (1 if texts else 0)
+        for _, _, data, off in slices:
+            got, want = lex.sequences(data, off), _looked_up(texts, lex.ids, lex.k)
+            assert [x.tolist() for x in got[:3]] == list(want[:3])
+            assert list(zip(got[4].tolist(), got[3].to_pylist(), strict=True)) == want[3]
+    (_, _, data, off), took = slices[0], []
+    for run in (lambda: [lex.ids.get(w, -1) for t in prose for w in t.lower().split()], lambda: lex.sequences(data, off)):
+        times = []
+        for _ in range(7):
+            began = time.process_time()
+            run()
+            times.append(time.process_time() - began)
+        took.append(min(times))
+    assert took[1] < 1.4 * took[0]  # one by one, as a lookup a word and a loop over words without an id, it took 2.1 times as long
+
+
 def test_log_probabilities_are_normalised():
     g = np.random.default_rng(3)
     m = lm.LogBilinear(g.integers(1, 50, 30).astype(float), 8, group=7)
