@@ -166,7 +166,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 
 def _joined(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of the spans by start, then kind as listed, comma-joined."""
-    ranked = [F.transform(k, lambda x, i=i: F.struct(x["start"].alias("a"), F.lit(i).alias("i"), x["end"].alias("b"))) for i, k in enumerate(kinds)]
+
+    def ranked_as(i: int, k: str) -> Column:  # a second parameter of the lambda, a default too, would be the span's place in its array
+        return F.transform(k, lambda x: F.struct(x["start"].alias("a"), F.lit(i).alias("i"), x["end"].alias("b")))
+
+    ranked = [ranked_as(i, k) for i, k in enumerate(kinds)]
     names = F.array(*map(F.lit, kinds))
     return F.array_join(F.transform(F.array_sort(F.concat(*ranked)), lambda x: F.concat_ws(":", F.get(names, x["i"]), x["a"].cast("string"), x["b"].cast("string"))), ",")
 
