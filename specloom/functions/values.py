@@ -33,7 +33,8 @@ def decimal_comma_number(c: Column) -> Column:
 
 
 def _filled(a: Column) -> Column:
-    return F.when(F.size(a) > 0, a.cast(RESULT))
+    # a lambda's variable holds the matches, which would else be searched for at each mention
+    return F.get(F.filter(F.array(a.cast(RESULT)), lambda x: F.size(x) > 0), F.lit(0))
 
 
 def _one(ok: Column, text: Column, number: Column | None = None) -> Column:

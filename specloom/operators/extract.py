@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from specloom.fixed import CONTINUATION_LINES, CONTINUATION_SLACK, FOOTNOTE, LONE_HEADER, RULES, TABLE_LEFT_SLACK, Rule
 from specloom.functions import text as tx
 from specloom.functions import values as vl
-from specloom.operators.columns import assign_columns
+from specloom.operators.columns import assigned
 from specloom.operators.relational import carry_forward, once, preferred_rows
 
 CELLS = "array<struct<start:int,end:int,text:string>>"
@@ -73,6 +73,8 @@ def lines(pages: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     patterns: (document, model_pattern). header is the one in force, carried over pages until the next; multi says
     whether any header of the document names several models.
     """
+    # whole pages are dealt by document, as the windows need it: less travels than lines with their cells, and all that follows is parallel
+    pages = pages.select("document", "page", "text").repartition("document")
     split = pages.select("document", "page", F.posexplode(F.split(tx.normalize(F.col("text")), LINE_BREAKS)).alias("line", "text"))
     if patterns is None:
         split = split.withColumn("pattern", F.lit(None).cast("string"))
@@ -110,7 +112,9 @@ def _labelled(ls: DataFrame) -> DataFrame:
 
     around = ls.withColumns({"next1": near(1), "next2": near(2), "next3": near(3), "before": near(-1)}).where(~F.col("is_header"))
     each = around.select("*", F.posexplode("cells").alias("label_no", "label"))
-    key = F.regexp_replace(F.trim(F.col("label.text")), ":+$", "")
+    # a column below the generator, which would work it out anew for each rule
+    each = each.withColumn("label_key", F.regexp_replace(F.trim(F.col("label.text")), ":+$", ""))
+    key = F.col("label_key")
     each = each.where(_like(key, "|".join(f"(?:{r.label})" for r in RULES)))
     matched = F.array_compact(F.array(*[F.when(_like(key, r.label), F.lit(i)) for i, r in enumerate(RULES)]))
     each = each.withColumn("rule_no", F.explode(matched))
@@ -135,61 +139,76 @@ def _candidate(field: Column, value: Column, numeric: Column, evidence: Column,
     return [field.alias("field"), value.alias("value"), numeric.alias("numeric"), evidence.alias("evidence"), anchor.alias("anchor"), conditions.alias("conditions"), model.alias("model")]
 
 
-def read_rows(ls: DataFrame) -> DataFrame:
-    """Candidates of all rows, each option that gives any; before the first option, untied values and repeats are chosen."""
+def read_rows(ls: DataFrame, tables: bool = True) -> DataFrame:
+    """Candidates of all rows, each option that gives any; before the first option, untied values and repeats are chosen.
+
+    A row is read once, as a table's or as one model's; tables: whether there may be headers of several models.
+    """
     rule = F.col("rule_no")
-    each = _labelled(ls).select("*", F.posexplode("options").alias("option", "o"))
-    row_text = F.concat_ws(" ", F.col("label.text"), F.array_join(F.transform("o.cells", lambda c: c["text"]), " "))
+    each = _labelled(ls).select("*", F.inline(F.transform("options", lambda x, i: F.struct(i.alias("option"), x["line"].alias("o_line"), x["text"].alias("o_text"), x["cells"].alias("o_cells"))))).drop("options", "cells", "text", "label_key")
+    row_text = F.concat_ws(" ", F.col("label.text"), F.array_join(F.transform("o_cells", lambda c: c["text"]), " "))
     out = _by_rule(rule, lambda r: _like(row_text, r.exclude) if r.exclude else None)
     need = _by_rule(rule, lambda r: _like(row_text, r.require) if r.require else None)
     each = each.where(~F.coalesce(out, F.lit(False)) & F.coalesce(need, F.lit(True)))
     field = _by_rule(rule, lambda r: F.lit(r.field))
     kind = _by_rule(rule, lambda r: F.lit(r.parse))
     how = _by_rule(rule, lambda r: F.lit(r.pick))
-    first = F.element_at("o.cells", 1)
-    each = each.withColumns({"field_name": field, "kind": kind, "how": how, "label_text": tx.squeeze(F.col("label.text")), "line_text": tx.squeeze(F.col("o.text")), "same_line": F.col("o.line") == F.col("line")})
-    # every text that may be a value is parsed once: the option's cells, then the first cells of the lines below
+    first = F.element_at("o_cells", 1)
+    each = each.withColumns({"field_name": field, "kind": kind, "how": how, "label_text": tx.squeeze(F.col("label.text")), "line_text": tx.squeeze(F.col("o_text")), "same_line": F.col("o_line") == F.col("line")})
+    # every text that may be a value is parsed once: the option's cells, then, after a colon, the first cells of the lines below
+    each = each.withColumn("goes_on", F.col("same_line") & F.endswith(F.rtrim(F.col("label.text")), F.lit(":")))
     below = [F.get(f"next{k}.cells", F.lit(0))["text"] for k in range(1, CONTINUATION_LINES + 1)]
-    texts = F.concat(F.transform("o.cells", lambda c: c["text"]), F.array(*below))
+    texts = F.concat(F.transform("o_cells", lambda c: c["text"]), F.when(F.col("goes_on"), F.array(*below)).otherwise(F.array().cast("array<string>")))
     each = once(each, "parsed", F.transform(texts, lambda t: F.coalesce(vl.parse(F.col("kind"), t), F.array().cast(vl.RESULT))))
     each = once(each, "parsed", F.transform("parsed", lambda v: _with_note(v, F.col("label_text"), rule)))
     in_table = F.coalesce((F.size("header.models") > 1) & (first["start"] >= F.col("header.start") - TABLE_LEFT_SLACK), F.lit(False))
-    return _table_values(each.where(in_table)).unionByName(_single_values(each.where(~in_table)))
+    each = _single_value(each.withColumn("in_table", in_table if tables else F.lit(False)))
+    if tables:
+        each = _table_values(each)
+    found = F.when(F.col("in_table"), F.col("of_table")).otherwise(F.col("of_one")) if tables else F.col("of_one")
+    return each.select(*_ROW, "option", "multi", F.inline(found))
+
+
+_FOUND = "array<struct<cell_no:int,column_no:int,field:string,value:string,numeric:double,evidence:string,anchor:string,conditions:string,model:string>>"
 
 
 def _table_values(each: DataFrame) -> DataFrame:
-    """Multi-model tables: each cell's value for every model column that the cell covers."""
-    key = [*_ROW, "option"]
-    with_values = F.transform("o.cells", lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), F.get("parsed", i).alias("values")))
-    rows = each.withColumn("table", F.filter(with_values, lambda c: c["start"] >= F.col("header.start") - TABLE_LEFT_SLACK))
-    groups = assign_columns(rows.select(*key, F.transform("table", lambda c: (c["start"] + c["end"]) / 2.0).alias("x"), F.col("header.centers").alias("c")), key, "x", "c")
-    met = rows.join(groups, key)
-    cells = met.select("*", F.posexplode(F.arrays_zip(F.col("table").alias("cell"), F.col("firsts").alias("a"), F.col("lasts").alias("b"))).alias("cell_no", "z"))
-    cells = once(cells, "v", vl.pick(F.col("z.cell.values"), F.col("how"))).where("v IS NOT NULL")
-    cells = cells.withColumn("column_no", F.explode(F.sequence("z.a", "z.b")))
-    model = F.get("header.models", F.col("column_no"))
-    evidence = F.concat(F.col("label_text"), F.lit(" — "), model, F.lit(": "), tx.squeeze(F.col("z.cell.text")))
-    return cells.select(*key, "cell_no", "column_no", "multi", *_candidate(F.col("field_name"), F.col("v.text"), F.col("v.number"), evidence, F.col("line_text"), vl.conditions(F.col("label_text")), model))
-
-
-def _single_values(each: DataFrame) -> DataFrame:
-    """One model: the first value cell and, after a colon, the lines aligned under it."""
-    each = each.withColumns({"first": F.element_at("o.cells", 1), "n_cells": F.size("o.cells")})
+    """each with of_table, in multi-model tables: each cell's value for every model column that the cell covers."""
+    with_values = F.transform("o_cells", lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), F.get("parsed", i).alias("values")))
+    each = each.withColumn("table", F.when(F.col("in_table"), F.filter(with_values, lambda c: c["start"] >= F.col("header.start") - TABLE_LEFT_SLACK)))
+    each = each.withColumn("groups", assigned(F.transform("table", lambda c: (c["start"] + c["end"]) / 2.0), F.when(F.col("in_table"), F.col("header.centers"))))
+    met = F.arrays_zip(F.col("table").alias("cell"), F.col("groups.firsts").alias("a"), F.col("groups.lasts").alias("b"))
+    picked = F.transform(met, lambda z, i: F.struct(i.alias("cell_no"), z["a"].alias("a"), z["b"].alias("b"), z["cell"]["text"].alias("text"), vl.pick(z["cell"]["values"], F.col("how")).alias("v")))
+    each = once(each, "cells_read", F.when(F.col("groups").isNotNull(), F.filter(picked, lambda z: z["v"].isNotNull())))
+    conditions = vl.conditions(F.col("label_text"))
+
+    def of_model(z: Column, column_no: Column) -> Column:
+        model = F.get("header.models", column_no)
+        evidence = F.concat(F.col("label_text"), F.lit(" — "), model, F.lit(": "), tx.squeeze(z["text"]))
+        return F.struct(z["cell_no"].alias("cell_no"), column_no.alias("column_no"), *_candidate(F.col("field_name"), z["v"]["text"], z["v"]["number"], evidence, F.col("line_text"), conditions, model))
+
+    found = F.flatten(F.transform("cells_read", lambda z: F.transform(F.sequence(z["a"], z["b"]), lambda n: of_model(z, n))))
+    return each.withColumn("of_table", found.cast(_FOUND))
+
+
+def _single_value(each: DataFrame) -> DataFrame:
+    """each with of_one, of rows in no table: the first value cell and, after a colon, the lines aligned under it."""
+    each = each.withColumns({"first": F.element_at("o_cells", 1), "n_cells": F.size("o_cells")})
     lead = F.get(F.get("parsed", F.lit(0)), F.lit(0))["number"]
     others = F.flatten(F.slice("parsed", F.lit(2), F.greatest(F.col("n_cells") - 1, F.lit(0))))
     clash = lead.isNotNull() & F.col("same_line") & F.exists(others, lambda v: v["number"].isNotNull() & (v["number"] != lead))
-    each = each.where(~F.coalesce(clash, F.lit(False)))
+    usable = ~F.col("in_table") & ~F.coalesce(clash, F.lit(False))
 
     start, end = F.col("first.start"), F.col("first.end")
-    good, extra = F.col("same_line") & F.endswith(F.rtrim(F.col("label.text")), F.lit(":")), []
+    good, extra = F.col("goes_on"), []
     for k in range(1, CONTINUATION_LINES + 1):
         cell = F.get(f"next{k}.cells", F.lit(0))
         good = good & F.coalesce((F.abs(cell["start"] - start) <= CONTINUATION_SLACK) | (F.abs(cell["end"] - end) <= CONTINUATION_SLACK), F.lit(False))
         extra.append(F.when(good, F.struct(cell["text"].alias("text"), F.get("parsed", F.col("n_cells") + k - 1).alias("values"))))
     own = F.struct(F.col("first.text").alias("text"), F.get("parsed", F.lit(0)).alias("values"))
-    each = each.withColumn("read", F.array_compact(F.array(own, *extra)))
+    each = once(each, "read", F.when(usable, F.array_compact(F.array(own, *extra))))
     found = F.flatten(F.transform("read", lambda x: F.transform(x["values"], lambda v: F.struct(v["text"].alias("text"), v["number"].alias("number"), x["text"].alias("of")))))
-    each = once(each.withColumn("texts", F.transform("read", lambda x: x["text"])), "found", found).where(F.size("found") > 0)
+    each = once(each.withColumn("texts", F.transform("read", lambda x: x["text"])), "found", found)
     each = once(each, "best", vl.pick(F.col("found"), F.col("how")))
     head, many = F.get("found", F.lit(0)), F.size("texts") > 1
     is_text = head["number"].isNull()
@@ -203,7 +222,8 @@ def _single_values(each: DataFrame) -> DataFrame:
     anchor = F.when(many, first_flat).otherwise(F.col("line_text"))
     model = F.when(F.size("header.models") == 1, F.get("header.models", F.lit(0)))
     conditions = vl.conditions(F.concat_ws(" ", F.col("label_text"), cell_text))
-    return each.select(*_ROW, "option", F.lit(0).alias("cell_no"), F.lit(0).alias("column_no"), "multi", *_candidate(F.col("field_name"), value, number, evidence, anchor, conditions, model))
+    one = F.struct(F.lit(0).alias("cell_no"), F.lit(0).alias("column_no"), *_candidate(F.col("field_name"), value, number, evidence, anchor, conditions, model))
+    return once(each, "of_one", F.when(F.size("found") > 0, F.array(one)).cast(_FOUND))
 
 
 def _preferred(field: Column, evidence: Column) -> Column:
@@ -224,7 +244,7 @@ def candidates(pages: DataFrame, patterns: DataFrame | None = None) -> DataFrame
     models, values without a model go. Each (model, field) keeps the row that its rule prefers, else the first; ord
     says where the pair was first seen. Documents without text or matching labels give no rows.
     """
-    rows = read_rows(lines(pages, patterns))
+    rows = read_rows(lines(pages, patterns), tables=patterns is not None)
     first = rows.withColumn("best", F.min("option").over(Window.partitionBy(*_ROW))).where("option = best")
     tied = first.where(~F.col("multi") | F.col("model").isNotNull())
     place = F.struct("page", "line", "label_no", "rule_no", "cell_no", "column_no")
